@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import langid_crf, quality_rules
+from corpusloom.llm import jpeg, langid_crf, quality_rules
 from corpusloom.llm.common import held_out_of, table
 
 
@@ -25,9 +25,15 @@ def op2(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select("doc_id", held_out_of(F.col("doc_id"), 3, 1).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Every document stored as an image and read back."""
+    return jpeg.with_digests(docs.select("doc_id", "text")).select("doc_id", "media.*")
+
+
 QUERIES = {
     "op1_langid_crf": lambda spark, sf_dir: op1(spark, table(spark, sf_dir, "documents")),
     "op2_quality_rules": lambda spark, sf_dir: op2(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op4_jpeg": lambda spark, sf_dir: op4(spark, table(spark, sf_dir, "documents")),
 }
 
 ORACLE_SQL: dict[str, str] = {}
