@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import jpeg, langid_crf, quality_rules
+from corpusloom.llm import jpeg, langid_crf, quality_rules, sentence_pieces
 from corpusloom.llm.common import held_out_of, table
 
 
@@ -30,10 +31,17 @@ def op4(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return jpeg.with_digests(docs.select("doc_id", "text")).select("doc_id", "media.*")
 
 
+def op5(spark: SparkSession, docs: DataFrame, model_file: str | None = None) -> DataFrame:
+    """Every document encoded and decoded."""
+    model_file = model_file or public_tokenizers.path("piece_bpe_32k.model")
+    return sentence_pieces.digests(docs.select("doc_id", "text"), model_file).select("doc_id", "digest.*")
+
+
 QUERIES = {
     "op1_langid_crf": lambda spark, sf_dir: op1(spark, table(spark, sf_dir, "documents")),
     "op2_quality_rules": lambda spark, sf_dir: op2(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op4_jpeg": lambda spark, sf_dir: op4(spark, table(spark, sf_dir, "documents")),
+    "op5_sentence_pieces": lambda spark, sf_dir: op5(spark, table(spark, sf_dir, "documents")),
 }
 
 ORACLE_SQL: dict[str, str] = {}
