@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import jpeg, langid_crf, quality_rules, sentence_pieces, url_filter
+from corpusloom.llm import html_region, jpeg, langid_crf, quality_rules, sentence_pieces, url_filter
 from corpusloom.llm.common import held_out_of, table
 
 
@@ -37,6 +37,12 @@ def op5(spark: SparkSession, docs: DataFrame, model_file: str | None = None) ->
     return sentence_pieces.digests(docs.select("doc_id", "text"), model_file).select("doc_id", "digest.*")
 
 
+def op9(spark: SparkSession, pages: DataFrame) -> DataFrame:
+    """The main text of every page."""
+    p = pages.select("page_id", "url", "html")
+    return html_region.with_text(p, html_region.fit(p)).select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op10(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """A verdict on every page's URL."""
     return url_filter.judge(pages.select("page_id", "url")).select("page_id", "judged.*")
@@ -47,6 +53,7 @@ QUERIES = {
     "op2_quality_rules": lambda spark, sf_dir: op2(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op4_jpeg": lambda spark, sf_dir: op4(spark, table(spark, sf_dir, "documents")),
     "op5_sentence_pieces": lambda spark, sf_dir: op5(spark, table(spark, sf_dir, "documents")),
+    "op9_html_region": lambda spark, sf_dir: op9(spark, table(spark, sf_dir, "pages")),
     "op10_url_filter": lambda spark, sf_dir: op10(spark, table(spark, sf_dir, "pages")),
 }
 
