@@ -27,10 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import text_udf
+from corpusloom.llm.part_cache import PartCache
 
 SPACE = "▁"
 #: Distinct parts of texts that a task keeps the ids of.
-CACHED_PARTS = 300_000
+CACHED_PARTS = 1_000_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -188,46 +189,26 @@ class Codec:
         )
         self.parts = re.compile(f"{SPACE}+[^{SPACE}]*")
         self.single = texts.index(SPACE) if SPACE in texts else None
-        self.known: dict[str, int] = {}
-        self.forms: list[str] = []
-        self.sizes: list[int] = []
-        self.ids = np.zeros(0, np.int64)
+        self.decimal = list(map(str, range(len(texts))))
+        self.cache = PartCache(self._learn, CACHED_PARTS)
 
-    def _learn(self, fresh: list[str]) -> None:
+    def _learn(self, fresh: list[str]) -> list[list[int]]:
         got = self.library.encode([x[1:].replace(SPACE, " ") for x in fresh], num_threads=1)
-        for i, x in enumerate(fresh):
-            if x == SPACE:
-                got[i] = [self.single]
-        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
-        self.forms += [",".join(map(str, x)) for x in got]
-        self.sizes += map(len, got)
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in got for i in x), np.int64)])
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """(ids of all texts end to end, number of each text's, each text's ids in decimal joined by commas)."""
+        return [[self.single] if x == SPACE else ids for x, ids in zip(fresh, got)]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, number of each text's)."""
         if not self.divisible:
             got = self.library.encode(texts, num_threads=1) if texts else []
-            return np.array([i for x in got for i in x], np.int64), np.array(list(map(len, got)), np.int64), [",".join(map(str, x)) for x in got]
-        if len(self.known) > CACHED_PARTS:
-            self.known.clear()
-            self.forms, self.sizes, self.ids = [], [], self.ids[:0]
-        lists = [self.parts.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        known = self.known
-        if fresh := list(dict.fromkeys(x for part in lists for x in part if x not in known)):
-            self._learn(fresh)
-        rows = [[known[x] for x in part] for part in lists]
-        forms = self.forms
-        joined = [",".join([forms[i] for i in row]) for row in rows]
-        sizes = np.array(self.sizes, np.int64)
-        ends = np.cumsum(sizes)
-        which = np.fromiter((i for row in rows for i in row), np.int64)
-        n = sizes[which]
-        total = np.cumsum(n)
-        flat = np.arange(int(total[-1]) if len(total) else 0) + np.repeat((ends - sizes)[which] - (total - n), n)
-        per_text = np.array([len(row) for row in rows], np.int64)
-        stop = np.cumsum(per_text)
-        before = np.concatenate([[0], total])
-        return self.ids[flat], before[stop] - before[stop - per_text], joined
+            return np.array([i for x in got for i in x], np.int64), np.array(list(map(len, got)), np.int64)
+        parts: list[str] = []
+        stops = []
+        for t in texts:
+            if t:
+                parts += self.parts.findall(SPACE + t.replace(" ", SPACE))
+            stops.append(len(parts))
+        ids, before = self.cache.ids_of(self.cache.rows(parts))
+        return ids, np.diff(before[stops], prepend=0)
 
     def spans(self, texts: list[str], ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(begin, end) in bytes of the original text of every piece. A piece that stands for added white space only is empty."""
@@ -270,7 +251,7 @@ def encode(df: DataFrame, model_file: str, text: str = "text", into: str = "piec
 
         def run(texts: list[str | None]) -> pa.Array:
             whole = [t or "" for t in texts]
-            ids, counts, _ = c.encode(whole)
+            ids, counts = c.encode(whole)
             begins, ends = c.spans(whole, ids, counts)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x, pa.int32())) for x in (ids, begins, ends)]
@@ -304,14 +285,15 @@ def digests(df: DataFrame, model_file: str, text: str = "text", into: str = "dig
 
         def run(texts: list[str | None]) -> pa.Array:
             whole = [t or "" for t in texts]
-            ids, counts, joined = c.encode(whole)
+            ids, counts = c.encode(whole)
+            decimal = list(map(c.decimal.__getitem__, ids.tolist()))
             begins, ends = c.spans(whole, ids, counts)
             pairs = np.stack([begins, ends], axis=1).astype("<i8") if len(ids) else np.zeros((0, 2), "<i8")
             stop = np.cumsum(counts)
             sha = lambda x: hashlib.sha256(x).hexdigest()
             columns = [
                 pa.array(counts, pa.int64()),
-                pa.array([sha(x.encode()) for x in joined], pa.string()),
+                pa.array([sha(",".join(decimal[b - n : b]).encode()) for b, n in zip(stop, counts)], pa.string()),
                 pa.array([sha(x.encode()) for x in c.decode(ids, counts)], pa.string()),
                 pa.array([sha(pairs[b - n : b].tobytes()) for b, n in zip(stop, counts)], pa.string()),
             ]
