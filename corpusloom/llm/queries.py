@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import html_region, jpeg, langid_crf, quality_rules, sentence_pieces, simhash, token_store, url_filter
+from corpusloom.llm import decontaminate, html_region, jpeg, langid_crf, quality_rules, sentence_pieces, simhash, token_store, url_filter
 from corpusloom.llm.common import held_out_of, table
 
 
@@ -37,6 +37,12 @@ def op5(spark: SparkSession, docs: DataFrame, model_file: str | None = None) ->
     return sentence_pieces.digests(docs.select("doc_id", "text"), model_file).select("doc_id", "digest.*")
 
 
+def op6(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """A row for every benchmark item that a document holds."""
+    found = decontaminate.with_hits(docs.select("doc_id", "text"), benchmark.select("item_id", "text"))
+    return found.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
+
+
 def op7(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """A fingerprint and the near-duplicates' smallest id for every document."""
     return simhash.cluster(docs)
@@ -63,6 +69,7 @@ QUERIES = {
     "op2_quality_rules": lambda spark, sf_dir: op2(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op4_jpeg": lambda spark, sf_dir: op4(spark, table(spark, sf_dir, "documents")),
     "op5_sentence_pieces": lambda spark, sf_dir: op5(spark, table(spark, sf_dir, "documents")),
+    "op6_decontaminate": lambda spark, sf_dir: op6(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op7_simhash": lambda spark, sf_dir: op7(spark, table(spark, sf_dir, "documents")),
     "op8_token_store": lambda spark, sf_dir: op8(spark, table(spark, sf_dir, "documents")),
     "op9_html_region": lambda spark, sf_dir: op9(spark, table(spark, sf_dir, "pages")),
