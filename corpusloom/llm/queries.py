@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, html_region, jpeg, langid_crf, quality_rules, sentence_pieces, simhash, token_store, url_filter
+from corpusloom.llm import decontaminate, html_region, jpeg, langid_crf, quality_rules, quote_threads, sentence_pieces, simhash, token_store, url_filter
 from corpusloom.llm.common import held_out_of, table
 
 
@@ -26,6 +26,12 @@ def op2(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select("doc_id", held_out_of(F.col("doc_id"), 3, 1).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3(spark: SparkSession, conversations: DataFrame) -> DataFrame:
+    """Every message's own text, and what it replies to."""
+    c = conversations.select("conv_id", "turn", "role", "text")
+    return quote_threads.thread(c).select("conv_id", "turn", "role", "reply.*")
+
+
 def op4(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Every document stored as an image and read back."""
     return jpeg.with_digests(docs.select("doc_id", "text")).select("doc_id", "media.*")
@@ -67,6 +73,7 @@ def op10(spark: SparkSession, pages: DataFrame) -> DataFrame:
 QUERIES = {
     "op1_langid_crf": lambda spark, sf_dir: op1(spark, table(spark, sf_dir, "documents")),
     "op2_quality_rules": lambda spark, sf_dir: op2(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op3_quote_threads": lambda spark, sf_dir: op3(spark, table(spark, sf_dir, "conversations")),
     "op4_jpeg": lambda spark, sf_dir: op4(spark, table(spark, sf_dir, "documents")),
     "op5_sentence_pieces": lambda spark, sf_dir: op5(spark, table(spark, sf_dir, "documents")),
     "op6_decontaminate": lambda spark, sf_dir: op6(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
