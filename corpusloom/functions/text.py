@@ -8,11 +8,14 @@ import html
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Serbian Cyrillic letters and their Latin forms, digraphs first.
 DIGRAPHS = {"Љ": "Lj", "Њ": "Nj", "Џ": "Dž", "љ": "lj", "њ": "nj", "џ": "dž"}
 CYRILLIC = "АБВГДЂЕЖЗИЈКЛМНОПРСТЋУФХЦЧШ"
 LATIN = "ABVGDĐEŽZIJKLMNOPRSTĆUFHCČŠ"
+#: A white space character, with (?U).
+SPACE = r"[\s\x1c-\x1f]"
 
 
 def to_latin(text: Column) -> Column:
@@ -26,19 +29,32 @@ def _share(part: Column, whole: Column) -> Column:
 
 
 def cyrillic_share(text: Column) -> Column:
-    """Cyrillic letters per letter, to three digits; 0 without letters."""
+    """Characters of the Cyrillic block per letter; 0 without letters."""
     letters = F.regexp_replace(text, r"[^\p{L}\p{Nl}\p{No}]", "")
-    return F.round(_share(F.length(F.regexp_replace(letters, r"[^Ѐ-ӿ]", "")), F.length(letters)), 3)
+    return _share(F.length(F.regexp_replace(text, r"[^Ѐ-ӿ]", "")), F.length(letters))
 
 
 def script(share: Column) -> Column:
     return F.when(share > 0.6, "cyrl").when(share > 0.1, "mixed").otherwise("latn")
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at its ends."""
+    return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+
+
+def blank(text: Column) -> Column:
+    return ~text.rlike(r"(?U)[^\s\x1c-\x1f]")
+
+
+def squeezed(text: Column) -> Column:
+    """White space as one blank, none at the ends."""
+    return F.trim(F.regexp_replace(text, rf"(?U){SPACE}+", " "))
+
+
 def normalised(text: Column) -> Column:
     """Lower case, marks as blanks, white space squeezed."""
-    words = F.regexp_replace(F.lower(text), r"(?U)[^\p{L}\p{N}_\s]", " ")
-    return F.trim(F.regexp_replace(words, r"(?U)[\s\x1c-\x1f]+", " "))
+    return squeezed(F.regexp_replace(F.lower(text), r"(?U)[^\p{L}\p{N}_\s]", " "))
 
 
 def body_hash(text: Column) -> Column:
@@ -54,7 +70,7 @@ def paragraph_offsets(text: Column) -> Column:
 
     def add(state: Column, line: Column) -> Column:
         end = state["at"] + F.length(line)
-        found = F.when(F.trim(line) != "", F.array_append(state["found"], F.array(state["at"], end))).otherwise(state["found"])
+        found = F.when(~blank(line), F.array_append(state["found"], F.array(state["at"], end))).otherwise(state["found"])
         return F.struct((end + 1).alias("at"), found.alias("found"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("found"))
@@ -69,7 +85,7 @@ def paragraphs(text: Column, offsets: Column) -> Column:
 def kept_lines(text: Column, drop: list[str], end: list[str]) -> Column:
     """Lines of the text up to the first that fully matches a pattern of ``end``, without those that fully match one of
     ``drop``. Patterns are held against the line's Latin form, stripped."""
-    form = lambda x: F.trim(F.replace(to_latin(x), F.lit(" "), F.lit(" ")))
+    form = lambda x: to_latin(stripped(x))
     found = lines(text)
     if end:
         marks = F.transform(found, lambda x: F.when(form(x).rlike("^(?:" + "|".join(end) + ")$"), 1).otherwise(0))
@@ -77,13 +93,13 @@ def kept_lines(text: Column, drop: list[str], end: list[str]) -> Column:
         found = F.when(first > 0, F.slice(found, F.lit(1), (first - 1).cast("int"))).otherwise(found)
     if drop:
         found = F.filter(found, lambda x: ~form(x).rlike("^(?:" + "|".join(drop) + ")$"))
-    return F.array_join(found, "\n")
+    return F.regexp_replace(F.array_join(found, "\n"), r"^\n+|\n+$", "")
 
 
 def without_headline(body: Column, title: Column) -> Column:
     """The body without blank lines at its head and without a first line that repeats the title."""
-    full = F.filter(lines(body), lambda x: F.lit(True))
-    first = F.array_position(F.transform(full, lambda x: F.when(F.trim(x) != "", 1).otherwise(0)), 1)
+    full = lines(body)
+    first = F.array_position(F.transform(full, lambda x: (~blank(x)).cast("int")), 1)
     rest = F.when(first > 0, F.slice(full, first.cast("int"), F.size(full))).otherwise(F.array().cast("array<string>"))
     repeats = (F.size(rest) > 0) & (normalised(F.get(rest, F.lit(0))) == normalised(title)) & (normalised(title) != "")
     return F.array_join(F.when(repeats, F.slice(rest, F.lit(2), F.size(rest))).otherwise(rest), "\n")
@@ -91,12 +107,15 @@ def without_headline(body: Column, title: Column) -> Column:
 
 def numbered(parts: Column) -> Column:
     """Parts that aren't empty as "[p1] ...", numbered from 1, a line each."""
-    return F.array_join(F.transform(F.filter(parts, lambda x: F.trim(x) != ""), lambda x, i: F.concat(F.lit("[p"), (i + 1).cast("string"), F.lit("] "), F.trim(x))), "\n")
+    full = F.filter(F.transform(parts, stripped), lambda x: x != "")
+    return F.array_join(F.transform(full, lambda x, i: F.concat(F.lit("[p"), (i + 1).cast("string"), F.lit("] "), x)), "\n")
 
 
 def article(title: Column, day: Column, lead: Column, parts: Column) -> Column:
     """What a coder or a model reads of an article: never where it is from."""
-    return F.concat_ws("\n", F.concat(F.lit("Title: "), F.coalesce(title, F.lit(""))), F.concat(F.lit("Date: "), F.coalesce(day.cast("string"), F.lit(""))), F.concat(F.lit("Lead: "), F.coalesce(lead, F.lit(""))), F.lit(""), numbered(parts))
+    head = [F.concat(F.lit(f"{name}: "), F.coalesce(value.cast("string"), F.lit(""))) for name, value in (("Title", title), ("Date", day), ("Lead", lead))]
+    body = numbered(parts)
+    return F.concat(F.concat_ws("\n", *head), F.lit("\n"), F.when(body != "", F.concat(F.lit("\n"), body)).otherwise(F.lit("")))
 
 
 def embedding_input(title: Column, lead: Column, body: Column, most: int = 8000) -> Column:
@@ -108,7 +127,7 @@ def embedding_input(title: Column, lead: Column, body: Column, most: int = 8000)
 
 def evidence_pointers(evidence: Column) -> Column:
     """Pointers p3, p10-p12, headline, lead, in order, joined by ", "; null if there are none."""
-    found = F.regexp_extract_all(F.lower(evidence), F.lit(r"\b(p\s*\d+(?:\s*[-–]\s*p?\s*\d+)?|headline|lead)\b"), F.lit(1))
+    found = F.regexp_extract_all(evidence, F.lit(r"(\bp\d+(?:\s*-\s*p\d+)?\b|\bheadline\b|\blead\b)"), F.lit(1))
     return F.nullif(F.array_join(F.transform(found, lambda x: F.regexp_replace(x, r"\s+", "")), ", "), F.lit(""))
 
 
@@ -122,13 +141,13 @@ def searchable(title: Column, lead: Column, body: Column) -> Column:
     return F.lower(F.concat(title, F.lit("\n"), lead, F.lit("\n"), body))
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def similarity(a: pa.Array, b: pa.Array) -> pa.Array:
     """Ratcliff-Obershelp ratio; null if either is null."""
     return pa.array([None if x is None or y is None else difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def unescaped(a: pa.Array) -> pa.Array:
     """Character references decoded."""
     return pa.array([None if x is None else html.unescape(x) for x in a.to_pylist()], pa.string())

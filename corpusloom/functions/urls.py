@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from urllib.parse import urlsplit, urlunsplit, parse_qsl, urlencode
+from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Beginnings of query parameters that only track the reader.
 TRACKING = ("utm_", "fbclid", "gclid", "mc_cid", "mc_eid")
 #: First path segments that name a script and not a section.
 SCRIPTS = ("lat", "ci", "sr", "scc")
-SCRIPT_PREFIX = r"^(/(lat|ci|sr|scc))+(?=/|$)"
+SCRIPT_PREFIX = r"(?i)^(/+(lat|ci|sr|scc))+(?=/|$)"
 ARTICLE_NUMBER = r"/(\d{4,})(?=/|$|-|\.)"
 
 
@@ -25,7 +26,7 @@ def _canonical(url: str) -> str:
     return urlunsplit((p.scheme.lower(), p.netloc.lower(), p.path, query, ""))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def canonical(url: pa.Array) -> pa.Array:
     """One form for a page's URLs: scheme and host in lower case, no fragment, no tracking parameters, query encoded
     anew. The path keeps its case."""
@@ -33,8 +34,8 @@ def canonical(url: pa.Array) -> pa.Array:
 
 
 def host(url: Column) -> Column:
-    """Host in lower case without a leading www.; null for what is no URL."""
-    return F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", "")
+    """Host in lower case without a leading www.; empty for what is no URL."""
+    return F.regexp_replace(F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit(""))), r"^www\.", "")
 
 
 def path(url: Column) -> Column:
@@ -42,14 +43,14 @@ def path(url: Column) -> Column:
 
 
 def section(url: Column) -> Column:
-    """First segment of the path after script prefixes, in lower case; null if there is none."""
+    """First segment of the path after script prefixes, in lower case; empty if there is none."""
     rest = F.regexp_replace(path(url), SCRIPT_PREFIX, "")
-    return F.lower(F.get(F.filter(F.split(rest, "/"), lambda x: x != ""), F.lit(0)))
+    return F.coalesce(F.lower(F.get(F.filter(F.split(rest, "/"), lambda x: x != ""), F.lit(0))), F.lit(""))
 
 
 def article_number(url: Column) -> Column:
     """Number of five to eight digits in the path; null if there is none."""
-    return F.try_to_number(F.nullif(F.regexp_extract(path(url), r"/(\d{5,8})(?=/|$|-|\.)", 1), F.lit("")), F.lit("99999999")).cast("bigint")
+    return F.try_to_number(F.nullif(F.regexp_extract(path(url), r"/(\d{5,8})(?:/|$)", 1), F.lit("")), F.lit("99999999")).cast("bigint")
 
 
 def numbers(url: Column) -> Column:
@@ -60,7 +61,7 @@ def numbers(url: Column) -> Column:
 def soft_404(requested: Column, final: Column) -> Column:
     """The requested path carries an article number, and the final one shares none."""
     a = numbers(requested)
-    return (F.size(a) > 0) & ~F.arrays_overlap(a, numbers(final))
+    return F.coalesce((requested != final) & (final != "") & (F.size(a) > 0) & ~F.arrays_overlap(a, numbers(final)), F.lit(False))
 
 
 def suffixes(h: Column) -> Column:

@@ -29,4 +29,4 @@ def summary(cell: DataFrame, outlet: str) -> DataFrame:
     """Sums by outlet, days, days without discovery, share fetched and share expected."""
     sums = cell.groupBy(outlet).agg(*[F.sum(m).alias(m) for m in MEASURES], F.sum("expected").alias("expected"), F.count("*").alias("days"), F.count_if(F.col("discovered") == 0).alias("days_without_discovery"))
     share = lambda a, b, n: F.coalesce(F.round(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), n), F.lit(0.0))
-    return sums.withColumn("discovered_per_expected", share("discovered", "expected", 2)).withColumn("fetched_per_discovered", share("fetched", "discovered", 3))
+    return sums.withColumn("discovered_vs_expected", share("discovered", "expected", 2)).withColumn("fetched_share", share("fetched", "discovered", 3))

@@ -30,7 +30,7 @@ def precision_recall(df: DataFrame, by: list[str], predicted: str, gold: str, we
     return rows.agg(F.count("*").alias("n"), F.try_divide(total(p & g), total(p)).alias("precision"), F.try_divide(total(p & g), total(g)).alias("recall"))
 
 
-def wilson(successes: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
+def wilson(successes: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Ends of Wilson's interval, in [0, 1]; null for n = 0."""
     k = F.when(n > 0, n.cast("double"))
     p = successes / k

@@ -8,20 +8,20 @@ from pyspark.sql import functions as F
 CONFIDENCE = ("high", "medium", "low")
 
 
-def error(in_scope: Column, clauses: Column, evidence: Column, confidence: Column, coder: Column, allowed: Column, most_clause: int = 4) -> Column:
-    """What is wrong with a label, by the first rule that it breaks; null if nothing is. ``allowed``: the article's
-    coders, null if it isn't in the set."""
-    odd = F.exists(F.coalesce(clauses, F.array().cast("array<int>")), lambda c: c.isNull() | (c < 1) | (c > most_clause))
-    none = F.coalesce(F.size(clauses), F.lit(0)) <= 0
+def error(in_scope: Column, clauses: Column, evidence: Column, confidence: Column, coder: Column, in_set: Column, allowed: Column | None = None, most_clause: int = 4) -> Column:
+    """What is wrong with a label, by the first rule that it breaks; null if nothing is. ``in_set``: the article was
+    drawn; ``allowed``: the article's coders, where articles are assigned."""
+    odd = clauses.isNull() | F.exists(clauses, lambda c: c.isNull() | (c < 1) | (c > most_clause))
+    chain = F.when(~F.coalesce(in_set, F.lit(False)), "not in the set")
+    if allowed is not None:
+        chain = chain.when(~F.coalesce(F.array_contains(allowed, coder), F.lit(False)), "not this coder's")
     return (
-        F.when(allowed.isNull(), "not in the set")
-        .when(~F.coalesce(F.array_contains(allowed, coder), F.lit(False)), "not this coder's")
-        .when(in_scope.isNull(), "in_scope is missing")
-        .when(odd, "unknown clause")
-        .when(in_scope & none, "in scope without a clause")
-        .when(~in_scope & ~none, "clauses though out of scope")
-        .when(in_scope & (F.trim(F.coalesce(evidence, F.lit(""))) == ""), "in scope without evidence")
+        chain.when(in_scope.isNull(), "in_scope is missing")
+        .when(odd, "unknown clauses")
+        .when(in_scope != (F.size(clauses) > 0), "clauses just when in scope")
+        .when(in_scope & (F.coalesce(evidence, F.lit("")) == ""), "in scope without evidence")
         .when(~F.coalesce(confidence, F.lit("")).isin(*CONFIDENCE), "unknown confidence")
+        .when(F.coalesce(coder, F.lit("")) == "", "no coder")
     )
 
 

@@ -33,21 +33,22 @@ def terms_of(rows: list[tuple[str, str]]) -> list[Term]:
 
 
 def version(terms: list[Term]) -> str:
-    """A name for the terms, whatever their order."""
-    return "lex-" + hashlib.sha256("\n".join(sorted(f"{t.list}:{t.pattern}" for t in terms)).encode()).hexdigest()[:10]
+    """A name for the terms in their order."""
+    return "lex-" + hashlib.sha256("\n".join(f"{t.list}:{t.pattern}" for t in terms).encode()).hexdigest()[:10]
 
 
 def match(df: DataFrame, text: str, terms: list[Term]) -> DataFrame:
-    """df with hit_<list> (number of terms found), terms (those found, in order) and candidate (any found). A null
-    text has no hits."""
+    """df with hit_<list> (number of terms found), terms ("list: term" of those found, by list) and candidate (any
+    found). A null text has no hits."""
     lists = list(dict.fromkeys(t.list for t in terms))
+    terms = sorted(terms, key=lambda t: lists.index(t.list))
     # every pattern is matched once: the flags are an array that the other columns are made from
     flags = F.array(*[F.coalesce(t.column(F.col(text)), F.lit(False)) for t in terms])
     df = df.withColumn("_flags", flags)
     flag = lambda i: F.get(F.col("_flags"), F.lit(i))
     for name in lists:
         df = df.withColumn(f"hit_{name}", sum((flag(i).cast("bigint") for i, t in enumerate(terms) if t.list == name), F.lit(0).cast("bigint")))
-    names = F.array(*[F.lit(t.pattern) for t in terms])
+    names = F.array(*[F.lit(f"{t.list}: {t.pattern}") for t in terms])
     df = df.withColumn("terms", F.filter(F.transform(names, lambda x, i: F.when(F.get(F.col("_flags"), i), x)), lambda x: x.isNotNull()))
     return df.withColumn("candidate", F.size("terms") > 0).drop("_flags")
 

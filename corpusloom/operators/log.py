@@ -49,9 +49,9 @@ def gone(log: DataFrame, unit: str = "unit_id", time: str = "ingest_time", tie:
 def corrections(log: DataFrame, pages: DataFrame, new_time: Column, pass_id: str, moment) -> DataFrame:
     """New inserts for current ones whose page says another date than was recorded. ``pages`` has content_sha256 and
     what ``new_time`` reads; rows dated by their page are left alone."""
-    c = current(log).where(F.coalesce(F.col("attrs")["date_source"], F.lit("")) != "page")
+    c = current(log).where((F.coalesce(F.col("attrs")["pub_date_source"], F.lit("")) != "page") & F.col("content_sha256").isNotNull())
     joined = c.join(pages.withColumn("_new", new_time).select("content_sha256", "_new"), "content_sha256").where(F.col("_new").isNotNull() & ~F.col("_new").eqNullSafe(F.col("valid_time")))
-    changed = F.map_concat(F.map_filter(F.coalesce("attrs", F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin("date_source", "corrects")), F.create_map(F.lit("date_source"), F.lit("page"), F.lit("corrects"), F.col("event_id")))
+    changed = F.map_concat(F.map_filter(F.coalesce("attrs", F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin("pub_date_source", "corrects")), F.create_map(F.lit("pub_date_source"), F.lit("page"), F.lit("corrects"), F.col("event_id")))
     event = F.sha2(F.concat_ws("|", F.lit(pass_id), "unit_id", F.col("_new").cast("string")), 256)
     out = joined.select(*[c for c in log.columns if c not in ("event_id", "valid_time", "ingest_time", "attrs", "pass_id")], event.alias("event_id"), F.col("_new").alias("valid_time"), F.lit(moment).cast("timestamp").alias("ingest_time"), changed.alias("attrs"), F.lit(pass_id).alias("pass_id"))
     return out.select(*[c for c in log.columns])

@@ -49,8 +49,8 @@ def changes(now: DataFrame, before: DataFrame, key: str, of: list[str], error: s
 
 
 def change_counts(changed: DataFrame) -> DataFrame:
-    """One row: unchanged, changed, errors."""
-    return changed.agg(F.count_if("same").alias("unchanged"), F.count_if(~F.col("same") & ~F.col("failed")).alias("changed"), F.count_if("failed").alias("errors"))
+    """One row: documents, unchanged, changed, errors."""
+    return changed.agg(F.count("*").alias("documents"), F.count_if("same").alias("unchanged"), F.count_if(~F.col("same") & ~F.col("failed")).alias("changed"), F.count_if("failed").alias("errors"))
 
 
 def carried(derived: DataFrame, changed: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -59,5 +59,5 @@ def carried(derived: DataFrame, changed: DataFrame, done: DataFrame, key: str) -
 
 
 def pruned(derived: DataFrame, changed: DataFrame, key: str) -> DataFrame:
-    """Derived rows of keys whose source changed or failed are taken out."""
-    return derived.join(changed.where(~F.col("same")).select(key), key, "left_anti")
+    """Derived rows of keys whose source is there and is what it was."""
+    return derived.join(changed.where("same").select(key), key, "left_semi")
