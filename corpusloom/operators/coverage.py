@@ -7,6 +7,9 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions import urls
+from corpusloom.operators import log as lg
+
 MEASURES = ["discovered", "fetched", "dated_out", "gone", "failed"]
 
 
@@ -15,6 +18,23 @@ def grid(outlets: DataFrame, outlet: str, first: date, last: date) -> DataFrame:
     return outlets.select(outlet).distinct().select(outlet, F.explode(F.sequence(F.lit(first), F.lit(last), F.expr("interval 1 day"))).alias("day"))
 
 
+def facts(found: DataFrame, log: DataFrame, attempts: DataFrame, first: date, last: date) -> DataFrame:
+    """(outlet_id, day, measure), a row for each fact about the pages of ``found`` (url, outlet_id, day).
+
+    Fetched pages count on the day that they were dated to; those dated out of the window, gone (deleted, or led to
+    another page) or failed (by the last attempt, and not in the log) on the day that they were found."""
+    pages = found.select("url", "outlet_id", "day")
+    inside = F.to_date("valid_time").between(F.lit(first), F.lit(last))
+    events = lg.current_events(log).where(F.col("kind").isin("insert", "delete")).select(F.col("unit_id").alias("url"), "kind", "valid_time", F.col("attrs")["final_url"].alias("final"))
+    known = pages.join(events, "url")
+    insert = F.col("kind") == "insert"
+    measure = F.when(~insert | urls.soft_404(F.col("url"), F.col("final")), "gone").when(inside, "fetched").otherwise("dated_out")
+    logged = known.withColumn("measure", measure).select("outlet_id", F.when(F.col("measure") == "fetched", F.to_date("valid_time")).otherwise(F.col("day")).alias("day"), "measure")
+    last_tries = lg.latest_outcome(attempts, "url", "outcome", "attempted_at").where("outcome NOT IN ('stored', 'gone')")
+    failed = pages.join(last_tries, "url", "left_semi").join(events.select("url").distinct(), "url", "left_anti").select("outlet_id", "day", F.lit("failed").alias("measure"))
+    return pages.select("outlet_id", "day", F.lit("discovered").alias("measure")).unionByName(logged).unionByName(failed)
+
+
 def cells(facts: DataFrame, outlet: str, first: date, last: date, outlets: DataFrame | None = None, expected: DataFrame | None = None) -> DataFrame:
     """A row for every outlet and day with the number of facts (outlet, day, measure) of each measure, zeros included,
     and ``expected`` (0 where it isn't known)."""

@@ -42,15 +42,14 @@ def match(df: DataFrame, text: str, terms: list[Term]) -> DataFrame:
     found). A null text has no hits."""
     lists = list(dict.fromkeys(t.list for t in terms))
     terms = sorted(terms, key=lambda t: lists.index(t.list))
-    # every pattern is matched once: the flags are an array that the other columns are made from
-    flags = F.array(*[F.coalesce(t.column(F.col(text)), F.lit(False)) for t in terms])
-    df = df.withColumn("_flags", flags)
-    flag = lambda i: F.get(F.col("_flags"), F.lit(i))
-    for name in lists:
-        df = df.withColumn(f"hit_{name}", sum((flag(i).cast("bigint") for i, t in enumerate(terms) if t.list == name), F.lit(0).cast("bigint")))
-    names = F.array(*[F.lit(f"{t.list}: {t.pattern}") for t in terms])
-    df = df.withColumn("terms", F.filter(F.transform(names, lambda x, i: F.when(F.get(F.col("_flags"), i), x)), lambda x: x.isNotNull()))
-    return df.withColumn("candidate", F.size("terms") > 0).drop("_flags")
+    flags = [f"_t{i}" for i in range(len(terms))]
+    df = df.withColumns({c: F.coalesce(t.column(F.col(text)), F.lit(False)) for c, t in zip(flags, terms)})
+    # joined and split, not filtered by a lambda, so that patterns are matched in generated code
+    joined = F.concat_ws("\x01", *[F.when(F.col(c), f"{t.list}: {t.pattern}") for c, t in zip(flags, terms)])
+    found = F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, "\x01"))
+    hits = {f"hit_{x}": sum((F.col(c).cast("bigint") for c, t in zip(flags, terms) if t.list == x), F.lit(0).cast("bigint")) for x in lists}
+    candidate = reduce(lambda p, q: p | q, map(F.col, flags), F.lit(False))
+    return df.withColumns(hits | {"terms": found, "candidate": candidate}).drop(*flags)
 
 
 def report(matched: DataFrame, by: str, lists: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 #: Dates are taken in UTC, whatever the machine says; AQE splits skewed joins and merges small partitions.
@@ -38,3 +40,12 @@ def require_utc(spark: SparkSession) -> None:
 def load(spark: SparkSession, folder: str, name: str):
     """The table ``name`` of a folder of Parquet tables."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def work_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. A folder of our own only where it is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="corpusloom-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
