@@ -93,5 +93,5 @@ def beacon_holds(signature: Column, randomness: Column) -> Column:
 
 
 def seed_of(randomness: Column, tag: str) -> Column:
-    """64 bits of SHA-256 of randomness and tag, as a decimal string."""
-    return F.conv(F.left(F.sha2(F.concat(randomness, F.lit(tag)), 256), F.lit(16)), 16, 10)
+    """64 bits of SHA-256 of the randomness (hexadecimal digits of its bytes) and a tag, as a decimal string."""
+    return F.conv(F.left(F.sha2(F.concat(F.unhex(randomness), F.encode(F.lit(tag), "UTF-8")), 256), F.lit(16)), 16, 10)

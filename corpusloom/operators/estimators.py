@@ -35,7 +35,7 @@ def wilson(successes: Column, n: Column, z: float = 1.96) -> tuple[Column, Colum
     k = F.when(n > 0, n.cast("double"))
     p = successes / k
     middle, half = (p + z * z / (2 * k)) / (1 + z * z / k), z * F.sqrt(p * (1 - p) / k + z * z / (4 * k * k)) / (1 + z * z / k)
-    return F.greatest(F.lit(0.0), middle - half), F.least(F.lit(1.0), middle + half)
+    return F.when(n > 0, F.greatest(F.lit(0.0), middle - half)), F.when(n > 0, F.least(F.lit(1.0), middle + half))
 
 
 def extension(df: DataFrame, stratum: str, gold: str, weight: str, limit: float = 0.05) -> DataFrame:

@@ -74,7 +74,7 @@ def sitemap_discovery(pages: DataFrame, children: DataFrame, registry: DataFrame
     A child that names a month counts if that overlaps the window, another one if its page's median day or a page beside
     it does. A page's day is its publication's, else its sitemap's month or median day."""
     named = children.where(F.col("loc").rlike(include)) if include else children
-    middle = pages.groupBy("child").agg(F.to_date(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY lastmod)")).alias("median_day"))
+    middle = pages.groupBy("child").agg(F.to_date(F.timestamp_micros(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY unix_micros(lastmod))").cast("bigint"))).alias("median_day"))
     known = named.select(F.col("loc").alias("child"), "month").join(middle, "child", "left").withColumn("guess", F.coalesce("month", "median_day"))
     near = known.where(F.when(F.col("month").isNotNull(), month_overlaps(F.col("month"), first, last)).otherwise(F.coalesce(F.col("median_day").between(F.date_sub(F.lit(first), 31), F.date_add(F.lit(last), 31)), F.lit(True))))
     rows = pages.join(F.broadcast(near.select("child", "guess")), "child").withColumn("url", urls.canonical(F.col("loc"))).withColumn("host", urls.host(F.col("url")))
