@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ from corpusloom.llm.part_cache import PartCache
 SPACE = "▁"
 #: Distinct parts of texts that a task keeps the ids of.
 CACHED_PARTS = 1_000_000
+#: Ids that are decoded at once, about.
+SLICE_IDS = 1 << 19
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -267,12 +270,36 @@ def decode(df: DataFrame, model_file: str, ids: str, into: str = "decoded") -> D
 
     @F.arrow_udf("string")
     def run(batch: pa.Array) -> pa.Array:
-        c = codec(model_file)
-        return pa.array([None if x is None else c.library.decode(x) for x in batch.to_pylist()], pa.string())
+        c, texts, at = codec(model_file), [], 0
+        ends = np.cumsum(pc.list_value_length(batch).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        while at < len(batch):
+            # rows of about SLICE_IDS ids at once: a batch's ids as Python integers need many times its memory
+            begin = int(ends[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, begin + SLICE_IDS, side="right")))
+            texts += [None if x is None else c.library.decode(x) for x in batch.slice(at, stop - at).to_pylist()]
+            at = stop
+        return pa.array(texts, pa.string())
 
     return df.withColumn(into, run(F.col(ids)))
 
 
+def round_trip(df: DataFrame, model_file: str, text: str = "text", into: str = "coded") -> DataFrame:
+    """df with a struct column: the ids, and the text that they decode to, in one pass over slices of bounded size."""
+
+    def make():
+        c = codec(model_file)
+
+        def run(texts: list[str | None]) -> pa.Array:
+            ids, counts = c.encode([t or "" for t in texts])
+            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            coded = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
+            return pa.StructArray.from_arrays([coded, pa.array(c.decode(ids, counts), pa.string())], ["ids", "decoded"])
+
+        return run
+
+    return df.withColumn(into, text_udf(None, "struct<ids:array<int>,decoded:string>", make)(F.col(text).cast("string")))
+
+
 RESULT = "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string,spans_sha256:string>"
 
 

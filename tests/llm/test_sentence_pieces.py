@@ -84,3 +84,14 @@ def test_query_and_columns(spark, codec):
         assert list(s["p"]["ids"]) == ids and s["decoded"] == codec.library.decode(ids)
         assert r["spans_sha256"] == hashlib.sha256(b"".join(struct.pack("<qq", a, b) for a, b in zip(s["p"]["begins"], s["p"]["ends"]))).hexdigest()
     assert q.op5(spark, docs.where("doc_id < 0")).count() == 0
+
+
+def test_round_trip_is_encode_and_decode(spark, monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(sp, "SLICE_IDS", 8)
+    model = MODEL
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["Hello  world", "", None, "é😀 x\n\ny", " a" * 500, "a"])], "i int, text string")
+    coded = {r["i"]: r for r in sp.decode(sp.encode(df, model), model, "pieces.ids").collect()}
+    for r in sp.round_trip(df, model).collect():
+        assert r["coded"]["ids"] == coded[r["i"]]["pieces"]["ids"] and r["coded"]["decoded"] == coded[r["i"]]["decoded"]
