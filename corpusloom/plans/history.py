@@ -188,7 +188,7 @@ FACTS = "WITH f AS (SELECT user_id % 9 AS outlet_id, CAST(ts AS DATE) AS day, CA
 CELLS = (
     FACTS
     + f"""o AS (SELECT DISTINCT outlet_id FROM f), d AS (SELECT CAST(unnest(generate_series(DATE '{FIRST}', DATE '{LAST}', INTERVAL 1 DAY)) AS DATE) AS day),
-      c AS (SELECT outlet_id, day, {', '.join(f"CAST(count_if(m = '{m}') AS BIGINT) AS {m}" for m in coverage.MEASURES)} FROM o CROSS JOIN d LEFT JOIN f USING (outlet_id, day) GROUP BY outlet_id, day) """
+      c AS (SELECT outlet_id, day, {', '.join(f"count(*) FILTER (m = '{m}') AS {m}" for m in coverage.MEASURES)} FROM o CROSS JOIN d LEFT JOIN f USING (outlet_id, day) GROUP BY outlet_id, day) """
 )
 REMAPPED = """WITH n AS (SELECT CASE WHEN doc_id % 10 = 0 THEN doc_id + 5 ELSE doc_id END AS id, doc_id % 10 = 0 AS renamed, doc_id AS old, source, n_chars FROM documents),
   k AS (SELECT * FROM n WHERE id IN (SELECT doc_id FROM documents WHERE doc_id % 4 <> 1)), r AS (SELECT id AS doc_id, source, n_chars, renamed FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY renamed DESC, old) AS k FROM k) WHERE k = 1) """
