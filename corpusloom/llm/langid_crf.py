@@ -217,19 +217,21 @@ def train(samples: list[tuple[str, str]], rounds: int = 40, lexicon_size: int =
 
 
 def sample(df: DataFrame, text: str, label: str, per_label: int = 250, window: int = 1500) -> list[tuple[str, str]]:
-    """About ``per_label`` windows for each label, of at most ``window`` characters from anywhere in the text."""
-    known = df.select(F.col(text).alias("t"), F.col(label).alias("y")).where("y IS NOT NULL AND t RLIKE '[\\\\p{L}]'")
-    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    """About ``per_label`` windows of different texts for each label, of at most ``window`` characters from anywhere in
+    the text. All of them are used: the share of texts that is taken is set from the number of different texts."""
+    known = df.select(F.col(text).cast("string").alias("t"), F.col(label).cast("string").alias("y")).where("y IS NOT NULL AND t RLIKE '[\\\\p{L}]'")
+    at = F.xxhash64("t")
+    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.approx_count_distinct(at, 0.02).alias("n")).collect()}
     if not counts:
         return []
     share = F.lit(1.0)
     for y, n in counts.items():
         if n > per_label:
             share = F.when(F.col("y") == y, F.lit(per_label / n)).otherwise(share)
-    at = F.xxhash64("t")
     room = F.greatest(F.length("t") - window, F.lit(1))
     chosen = known.where(F.pmod(at, F.lit(1 << 20)) < share * (1 << 20))
-    rows = chosen.select("y", F.substring("t", (F.pmod(F.shiftright(at, 20), room) + 1).cast("int"), F.lit(window)).alias("t")).limit(2 * per_label * len(counts)).collect()
+    # copies count once: a text that stands in a third of all rows gives one window
+    rows = chosen.select("y", F.substring("t", (F.pmod(F.shiftright(at, 20), room) + 1).cast("int"), F.lit(window)).alias("t")).distinct().collect()
     return [(r["y"], r["t"]) for r in rows]
 
 

@@ -67,6 +67,15 @@ def test_edge_cases(spark):
     assert {r["language"]["lang_pred"] for r in crf.predict(df, None).collect()} == {"und"}
 
 
+def test_sample_takes_a_copied_text_once(spark):
+    rows = [("the cat sat on the mat", "en")] * 3000 + [(f"le chat noir {i}", "fr") for i in range(40)] + [("nothing", None)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    got = crf.sample(df, "text", "lang")
+    assert sorted(got) == sorted({(y, t) for t, y in rows[:-1]})
+    few = crf.sample(df, "text", "lang", per_label=10)
+    assert few and len(few) == len(set(few)) and sum(y == "fr" for y, _ in few) < 30
+
+
 @pytest.fixture(scope="module")
 def result(spark):
     return q.QUERIES["op1_langid_crf"](spark, "/root/testdata/sf0.01").cache()
