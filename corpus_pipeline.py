@@ -47,10 +47,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded_sha256) of every document."""
+    """(doc_id, n_tokens, ids, decoded_sha256, begins, ends) of every document; begins and ends are the byte span of each
+    piece in its text."""
     model = public_tokenizers.path("piece_bpe_32k.model")
     coded = sentence_pieces.round_trip(docs.select("doc_id", "text"), model).select("doc_id", "coded.*")
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), "begins", "ends")
 
 
 STAGES = [
@@ -66,10 +67,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each one's result written to the shared folder and read again by the next."""
+    """All stages, each one's result written to the shared folder and read again by the next. The spans of the last stage
+    are computed, but this result is held to its four columns; who wants the spans takes them from ``encode``."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = stored(docs, f"stage-{i + 1}")
-    return docs
+    return docs.drop("begins", "ends")

@@ -284,20 +284,24 @@ def decode(df: DataFrame, model_file: str, ids: str, into: str = "decoded") -> D
 
 
 def round_trip(df: DataFrame, model_file: str, text: str = "text", into: str = "coded") -> DataFrame:
-    """df with a struct column: the ids, and the text that they decode to, in one pass over slices of bounded size."""
+    """df with a struct column: the ids, the byte span of each piece in the original text, and the text that the ids
+    decode to, in one pass over slices of bounded size."""
 
     def make():
         c = codec(model_file)
 
         def run(texts: list[str | None]) -> pa.Array:
-            ids, counts = c.encode([t or "" for t in texts])
-            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            coded = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
-            return pa.StructArray.from_arrays([coded, pa.array(c.decode(ids, counts), pa.string())], ["ids", "decoded"])
+            whole = [t or "" for t in texts]
+            ids, counts = c.encode(whole)
+            begins, ends = c.spans(whole, ids, counts)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (ids, begins, ends)]
+            return pa.StructArray.from_arrays([*lists, pa.array(c.decode(ids, counts), pa.string())], ["ids", "begins", "ends", "decoded"])
 
         return run
 
-    return df.withColumn(into, text_udf(None, "struct<ids:array<int>,decoded:string>", make)(F.col(text).cast("string")))
+    returns = "struct<ids:array<int>,begins:array<int>,ends:array<int>,decoded:string>"
+    return df.withColumn(into, text_udf(None, returns, make)(F.col(text).cast("string")))
 
 
 RESULT = "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string,spans_sha256:string>"

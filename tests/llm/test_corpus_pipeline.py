@@ -73,6 +73,21 @@ def test_encode(spark, docs):
         assert r["ids"] == ids and r["n_tokens"] == len(ids) and r["decoded_sha256"] == hashlib.sha256(library.decode(ids).encode()).hexdigest()
 
 
+def test_encode_gives_the_span_of_every_piece(spark, docs):
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    odd = [(-1, None, None, None, None), (-2, "  é😀  x\n▁y ", None, None, None)]
+    some = docs.where("doc_id < 40").unionByName(spark.createDataFrame(odd, docs.schema))
+    texts = texts_of(some)
+    for r in cp.encode(spark, some, SF).collect():
+        raw = (texts[r["doc_id"]] or "").encode()
+        assert len(r["begins"]) == len(r["ends"]) == len(r["ids"])
+        # side by side over the whole text, each over its own piece
+        assert [0, *r["ends"]][: len(r["ids"])] == r["begins"] and (r["ends"] or [0])[-1] == len(raw)
+        for i, a, b in zip(r["ids"], r["begins"], r["ends"]):
+            if not library.is_byte(i):
+                assert library.id_to_piece(i).replace("▁", " ").strip(" ") == raw[a:b].decode().replace("▁", " ").strip(" ")
+
+
 def test_whole_run_and_empty_table(spark, docs):
     out = cp.run(spark, SF)
     assert out.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"]
