@@ -56,10 +56,14 @@ def stability(first: DataFrame, second: DataFrame, key: str, value: str) -> Data
 def bootstrap(df: DataFrame, cell: list[str], predicted: str, gold: str, weight: str, times: int = 2000, seed: int = 1, tasks: int = 32) -> DataFrame:
     """One row: 95 % intervals of weighted precision and recall, cells resampled with replacement.
 
-    A gold sample is a few hundred rows by design; a copy of it goes to each task, which works on its own replicates,
-    each with a seed of its own, so results don't depend on the number of tasks."""
-    rows = df.select(F.concat_ws(":", *cell).alias("cell"), F.col(predicted).alias("p"), F.col(gold).alias("g"), F.col(weight).cast("double").alias("w")).orderBy("cell", "p", "g", "w").toPandas()
-    groups = [x.index.to_numpy() for _, x in rows.groupby("cell")]
+    Rows of a cell that agree in prediction, gold and weight are alike, so Spark counts them, and a replicate draws how
+    often each kind comes (multinomial, as many as the cell has rows): the bootstrap over every row. A copy of the
+    counts goes to each task; weights belong to strata, so the kinds are few. Each replicate has a seed of its own, so
+    results don't depend on the number of tasks."""
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    kinds = df.groupBy(F.concat_ws(":", *cell).alias("cell"), yes(predicted).alias("p"), yes(gold).alias("g"), F.coalesce(F.col(weight).cast("double"), F.lit(0.0)).alias("w")).agg(F.count("*").alias("n"))
+    rows = kinds.orderBy("cell", "p", "g", "w").toPandas()
+    cells = [(x.index.to_numpy(), int(x["n"].sum()), x["n"].to_numpy(float) / float(x["n"].sum())) for _, x in rows.groupby("cell")]
     p, g, w = rows["p"].to_numpy(bool), rows["g"].to_numpy(bool), rows["w"].to_numpy(float)
 
     def work(batches):
@@ -67,8 +71,10 @@ def bootstrap(df: DataFrame, cell: list[str], predicted: str, gold: str, weight:
             out = []
             for i in ids["id"]:
                 rng = np.random.default_rng([seed, int(i)])
-                at = np.concatenate([x[rng.integers(0, len(x), len(x))] for x in groups]) if groups else np.zeros(0, int)
-                both, pred, all_gold = (float(w[at][m].sum()) for m in (p[at] & g[at], p[at], g[at]))
+                drawn = np.zeros(len(w))
+                for at, n, shares in cells:
+                    drawn[at] = rng.multinomial(n, shares)
+                both, pred, all_gold = (float((w * drawn)[m].sum()) for m in (p & g, p, g))
                 out.append((int(i), both / pred if pred else None, both / all_gold if all_gold else None))
             yield pd.DataFrame(out, columns=["id", "precision", "recall"])
 

@@ -117,8 +117,7 @@ def stability(spark, sf):
 
 
 def bootstrap_intervals(spark, sf):
-    j = sampling.per_group(_judged(spark, sf), "source", "doc_id", 15, "3")
-    return _rounded(estimators.bootstrap(j, ["source"], "p", "g", "w"))
+    return _rounded(estimators.bootstrap(_judged(spark, sf), ["source"], "p", "g", "w"))
 
 
 def _results(spark, sf):
