@@ -64,24 +64,83 @@ def first_batch(df: DataFrame, order: str, size: Column, most_bytes: int, most_r
     return top.withColumn("_sum", F.sum("_size").over(w)).withColumn("_rn", F.row_number().over(Window.orderBy(order))).where((F.col("_rn") == 1) | (F.col("_sum") <= most_bytes)).drop("_size", "_sum", "_rn")
 
 
+#: Rows that a task of ``portions`` works on at once, as a power of two.
+BLOCK_BITS = 13
+
+
+def _break(sizes: list[float], at: int, held: float, most: float) -> tuple[int, float]:
+    """(first row from ``at`` on that begins a portion, if ``held`` is in the open one; what is then held)."""
+    for i in range(at, len(sizes)):
+        if held and held + sizes[i] > most:
+            return i, held
+        held += sizes[i]
+    return len(sizes), held
+
+
+def _outcomes(sizes: list[float], most: float) -> tuple[list[float], list[int], list[float]]:
+    """(sizes up to the last row at which the first portion of the block can begin; for each of them how many more
+    portions the block then begins, and what is held at its end)."""
+    head = sizes[: _break(sizes, 0, 0.0, most)[0] + 1]
+    known: dict[int, tuple[int, float]] = {}
+    for start in range(len(head)):
+        path, at = [], start
+        while at not in known:
+            after, held = _break(sizes, at, 0.0, most)
+            path.append(at)
+            if after == len(sizes):
+                known[at] = (0, held)
+            else:
+                at = after
+        breaks, held = known[at]
+        for x in reversed(path):
+            if x not in known:
+                breaks += 1
+                known[x] = (breaks, held)
+    return head, [known[j][0] for j in range(len(head))], [known[j][1] for j in range(len(head))]
+
+
 def portions(df: DataFrame, group: str, order: str, size: Column, most: int) -> DataFrame:
     """df's (group, order) with ``portion``, from 0 in each group: rows in order as long as the sum of their sizes stays
-    within ``most``, then the next portion; a larger row stands alone. A group is what one task folds, so there should
-    be many: days or hash buckets."""
+    within ``most``, then the next portion; a larger row stands alone. A null size counts as 0.
+
+    Groups may be of any size: rows are put in order by ranges and cut into blocks. For each row of a block that can be
+    the first to begin a portion, a task says where that leads; of each block only this goes through a group's fold,
+    which gives every block the portion that it starts in. So the result is that of one walk through the group."""
+    slim = df.select(F.col(group).alias("g"), F.col(order).alias("o"), F.coalesce(size.cast("double"), F.lit(0.0)).alias("s"))
+    kinds = dict(slim.dtypes)
+    # checkpointed, since the rows' places must be the same in both passes
+    placed = slim.repartitionByRange("g", "o").sortWithinPartitions("g", "o", "s").withColumn("at", F.monotonically_increasing_id()).checkpoint()
+    rows = placed.withColumn("block", F.shiftright("at", BLOCK_BITS))
+
+    def summary(x: pd.DataFrame) -> pd.DataFrame:
+        head, breaks, held = _outcomes(x.sort_values("at")["s"].tolist(), most)
+        return pd.DataFrame({"g": x["g"].iloc[:1].tolist(), "block": [x["block"].iloc[0]], "head": [head], "breaks": [breaks], "tails": [held]})
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("o", kind="stable")
+    def fold(x: pd.DataFrame) -> pd.DataFrame:
         number, held, found = 0, 0.0, []
-        for i, s in enumerate(rows["s"]):
-            if i and held and held + s > most:
+        for head, breaks, tails in x.sort_values("block")[["head", "breaks", "tails"]].itertuples(index=False):
+            found.append((number, held))
+            j, held = _break(list(head), 0, held, most)
+            if j < len(head):
+                number, held = number + 1 + int(breaks[j]), float(tails[j])
+        x = x.sort_values("block")
+        return x.assign(number=[n for n, _ in found], held=[h for _, h in found])[["g", "block", "number", "held"]]
+
+    def numbered(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("at")
+        number, held, found = int(x["number"].iloc[0]), float(x["held"].iloc[0]), []
+        for s in x["s"]:
+            if held and held + s > most:
                 number, held = number + 1, 0.0
             held += s
             found.append(number)
-        return rows.assign(portion=found)[["g", "o", "portion"]]
+        return x.assign(portion=found)[["g", "o", "portion"]]
 
-    slim = df.select(F.col(group).alias("g"), F.col(order).alias("o"), size.cast("double").alias("s"))
-    kinds = dict(slim.dtypes)
-    return slim.groupBy("g").applyInPandas(fold, f"g {kinds['g']}, o {kinds['o']}, portion long").select(F.col("g").alias(group), F.col("o").alias(order), "portion")
+    blocks = rows.groupBy("g", "block").applyInPandas(summary, f"g {kinds['g']}, block long, head array<double>, breaks array<long>, tails array<double>")
+    starts = blocks.groupBy("g").applyInPandas(fold, f"g {kinds['g']}, block long, number long, held double").select(F.col("g").alias("_g"), F.col("block").alias("_block"), "number", "held")
+    joined = rows.join(starts, F.col("g").eqNullSafe(F.col("_g")) & (F.col("block") == F.col("_block"))).drop("_g", "_block")
+    done = joined.groupBy("g", "block").applyInPandas(numbered, f"g {kinds['g']}, o {kinds['o']}, portion long")
+    return done.select(F.col("g").alias(group), F.col("o").alias(order), "portion")
 
 
 def embed_requests(df: DataFrame, key: str, text: Column, dims: int) -> DataFrame:
