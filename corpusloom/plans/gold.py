@@ -143,7 +143,7 @@ def undecided(spark, sf):
 def fetch_outcomes(spark, sf):
     """What became of documents asked for again: some gone, some failed, some edited."""
     id = F.col("doc_id")
-    d = load(spark, sf, "documents").select(id.alias("event_id"), F.col("source").alias("outlet_id"), F.left("text", F.lit(60)).alias("body"), F.md5("text").alias("body_hash"))
+    d = load(spark, sf, "documents").select(id.alias("event_id"), F.col("source").alias("outlet_id"), F.col("text").alias("body"), F.md5("text").alias("body_hash"))
     n = F.col("event_id")
     again = d.select("event_id", F.when(n % 7 == 0, 404).when(n % 11 == 0, 503).otherwise(200).alias("status"), F.when(n % 5 == 0, F.concat(F.col("body"), F.lit("xxxx"))).otherwise(F.col("body")).alias("body"), F.when(n % 5 == 0, "other").otherwise(F.col("body_hash")).alias("body_hash"))
     r = release.verified(d, again)
