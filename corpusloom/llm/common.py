@@ -42,17 +42,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[list[str | None]]:
-    """The texts in order, in lists of about ``most`` bytes (a longer text stands alone)."""
+def arrow_slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """The texts in order, in arrays of about ``most`` bytes (a longer text stands alone)."""
     sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, n in enumerate(sizes):
         if held and held + n > most:
-            yield texts.slice(start, i - start).to_pylist()
+            yield texts.slice(start, i - start)
             start, held = i, 0
         held += int(n) + 64
     if start < len(texts):
-        yield texts.slice(start).to_pylist()
+        yield texts.slice(start)
+
+
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[list[str | None]]:
+    """As arrow_slices, in lists."""
+    for x in arrow_slices(texts, most):
+        yield x.to_pylist()
 
 
 def text_udf(fn: Callable[[list[str | None]], pa.Array], returns: str, make: Callable | None = None) -> Callable[[Column], Column]:

@@ -56,7 +56,7 @@ def op7(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def op8(spark: SparkSession, docs: DataFrame, model_file: str | None = None) -> DataFrame:
     """Every document's place and ids, read back from the segments that all documents were written to."""
-    return token_store.read(token_store.write(docs, model_file or public_tokenizers.path("word_bpe_49k.json")))
+    return token_store.read(docs.sparkSession, token_store.write(docs, model_file or public_tokenizers.path("word_bpe_49k.json")))
 
 
 def op9(spark: SparkSession, pages: DataFrame) -> DataFrame:

@@ -195,9 +195,10 @@ class Codec:
         self.decimal = list(map(str, range(len(texts))))
         self.cache = PartCache(self._learn, CACHED_PARTS)
 
-    def _learn(self, fresh: list[str]) -> list[list[int]]:
+    def _learn(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = self.library.encode([x[1:].replace(SPACE, " ") for x in fresh], num_threads=1)
-        return [[self.single] if x == SPACE else ids for x, ids in zip(fresh, got)]
+        got = [[self.single] if x == SPACE else ids for x, ids in zip(fresh, got)]
+        return np.array([i for ids in got for i in ids], np.int32), np.array(list(map(len, got)), np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, number of each text's)."""

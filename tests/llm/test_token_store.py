@@ -85,3 +85,59 @@ def test_test_tables(spark, library):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in q.QUERIES["op8_token_store"](spark, sf).collect()}
     assert got == want_of(library, rows)
+
+
+def test_single_ids_are_read_from_the_stored_files(spark, library):
+    rows = [(i * 7 % 101, f"Some words, {i} of them " * (i % 6)) for i in range(101)] + [(None, "none"), (7, "très, très long\t" * 500)]
+    folder = ts.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), MODEL, most=60)
+    ids = []
+    for _, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, len(r[1]))):
+        ids.append(library.encode(t, add_special_tokens=False).ids + [1])
+    got = sorted((r["start"], r["n_tokens"]) for r in ts.read(spark, folder).collect())
+    assert sum(map(len, ids)) == got[-1][0] + got[-1][1]
+    whole = np.concatenate([ts.Segment(bytes(r["content"])).all() for r in ts.stored(spark, folder).orderBy("start").collect()])
+    assert len(whole) == sum(map(len, ids)) and sorted(whole.tolist()) == sorted(i for x in ids for i in x)
+    for position in [0, 1, 59, 60, 61, len(whole) // 2, len(whole) - 1]:
+        assert ts.token_at(spark, folder, position) == whole[position]
+    with pytest.raises(IndexError):
+        ts.token_at(spark, folder, len(whole))
+
+
+def test_a_single_id_takes_few_bytes():
+    ids = np.random.default_rng(3).integers(0, 1 << 20, 50_000)
+    data, seen = ts.encode(ids), []
+
+    def read(at, n):
+        seen.append(n)
+        return data[at : at + n]
+
+    s = ts.Segment(read)
+    opened = sum(seen)
+    for i in range(0, 50_000, 997):
+        seen.clear()
+        assert s[i] == ids[i] and sum(seen) <= 3 * (1 + ts.BLOCK + 4)
+    assert opened < 100 and ts.Segment(data).all().tolist() == ids.tolist()
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("ab é\n,1'"), max_size=60), min_size=1, max_size=5), st.integers(1, 9))
+def test_windows_end_at_white_space_or_with_a_text(texts, most):
+    raw = [t.encode() for t in texts]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    starts = np.cumsum([0, *map(len, raw)])[:-1]
+    at = 0
+    for a, b in ts.windows(data, starts, most):
+        assert a == at and b > a
+        assert b == len(data) or b in starts or data[b - 1] in (32, 10)
+        at = b
+    assert at == len(data)
+
+
+def test_long_texts_in_windows_and_many_parts(library, monkeypatch):
+    monkeypatch.setattr(ts, "WINDOW", 50)
+    monkeypatch.setattr(ts, "LOOKED_UP", 7)
+    small = ts.WordEncoder(MODEL, most=20)
+    texts = ["Grüße, ça va? " * 40 + "x" * 300, "", "it's <b>bold</b> " * 30, None, "1234 &&& é” “a”, b"]
+    ids, counts = small.encode(texts, 1)
+    want = [library.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    assert ids.tolist() == [i for x in want for i in x] and counts.tolist() == list(map(len, want))
