@@ -4,43 +4,49 @@ Texts and items are lower-cased runs of letters, digits and underscores. An item
 run of the text's words is at most floor(``share`` * L) word insertions, deletions and substitutions away (items of
 under 1 / share words must stand there exactly).
 
-Windows of an item's size are mapped by CGK random walks: a walk writes the current word at each of 3 L steps and moves
-on by a random bit that depends on the step and the word, so that a small edit distance becomes a small Hamming
-distance. Bands of sampled positions are hashed; a window that shares a band with an item of its size, in any of
-several walks, is a candidate. Candidates are verified by the exact edit distance of the item to the best run of words
-around the window. The number of walks and bands is set for the recall that the tests measure; equal passages always
-meet.
+Windows of an item's size are mapped by CGK random walks: a walk writes the current word at each step and moves on by a
+random bit that depends on the step and the word, so that a small edit distance becomes a small Hamming distance. Bands
+of sampled positions are hashed, all from the first 1.5 L steps, in which a walk is still within its words; a window that
+shares a band with an item of its size, in any of several walks, is a candidate. Candidates are verified by the exact
+edit distance of the item to the best run of words around the window. The number of walks follows from ``target_recall``:
+it is the smallest with which that share of items is met whose every allowed edit puts in a word that no item has, in
+the hardest of the items' lengths (``walks_for``, by trials with fixed seeds). Equal passages always meet.
 
 Not every window need be walked. If the distance is at most d, at least one of the item's d + 1 even pieces stands in
 the text untouched (this loses nothing), so only windows are walked that would put such a piece in its place, give or
 take d words.
 
-The items are brought to the driver and sent to all tasks in blocks of at most ``BLOCK_CHARS`` characters; with more
-items than fit a block, every block is held against all texts. Nothing is shuffled.
+The items are brought to the driver and broadcast in blocks of about ``BLOCK_CHARS`` characters, one after the other:
+a block's index is built, held against all texts and given up before the next one is built. One block needs one pass
+and no shuffle. With more, texts are first written with a row number, each pass writes the rows with hits, and these are
+joined to the texts at the end.
 
 Defined results: null and empty texts have no hits, null items and items without words match nothing. Equal items are
 all reported. Texts of any length are searched whole. Of several places the one with the smallest distance is
-reported, of those the first. Other columns pass through untouched.
+reported, of those the first. Other columns pass through untouched; a column of the name ``into`` is replaced. Without
+items all rows have no hits.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import text_udf
+from corpusloom.llm.common import stored, text_udf
 
 WORD = re.compile(r"\w+")
 BLOCK_CHARS = 32 << 20
 #: Words of a piece that are looked up at most.
 PIECE = 4
-#: Windows that are walked at once.
-WINDOWS = 4000
+#: Windows that are walked at once at most, and numbers that these walks may write.
+WINDOWS, WRITTEN = 4000, 4_000_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -62,10 +68,89 @@ def grams(ids: np.ndarray, n: int) -> np.ndarray:
     return mixed(h)
 
 
+def steps_of(n):
+    """Steps of a walk over n words. A step moves on every other time, so the walk ends at about three quarters."""
+    return n + (n + 1) // 2
+
+
+def batches(length: np.ndarray, walks: int) -> Iterator[np.ndarray]:
+    """Places of the windows, in batches of like length whose walks write a bounded number of words."""
+    order = np.argsort(length, kind="stable")
+    ordered, at = length[order], 0
+    while at < len(order):
+        longest = 2 * int(ordered[at])
+        most = max(1, min(WINDOWS, WRITTEN // (steps_of(longest) * walks)))
+        stop = min(at + most, int(np.searchsorted(ordered, longest, side="right")))
+        yield order[at:stop]
+        at = stop
+
+
+def band_keys(ids: np.ndarray, start: np.ndarray, length: np.ndarray, pad: int, step_seeds: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Band hashes [walks * bands, windows] of the windows of ids. ``step_seeds`` [steps, walks, 1] decide the walks,
+    ``places`` [walks, bands, sampled] in [0, 1) the sampled steps."""
+    walks, bands, sampled = places.shape
+    out = np.empty((walks * bands, len(start)), np.uint64)
+    padded = np.append(ids, pad)
+    for at in batches(length, walks):
+        s, n = start[at], length[at]
+        steps = steps_of(int(n.max()))
+        i = np.zeros((walks, len(s)), np.int64)
+        written = np.empty((steps, walks, len(s)), np.int64)
+        for t in range(steps):
+            word = np.where(i < n, padded[np.minimum(s + i, len(ids))], pad)
+            written[t] = word
+            # + 1, as a walk has to move on from word 0 too
+            i += ((mixed((word + 1).astype(np.uint64) * step_seeds[t]) >> np.uint64(40)) & np.uint64(1)).astype(np.int64)
+        place = (places[:, :, :, None] * steps_of(n)).astype(np.int64)  # [walks, bands, sampled, windows]
+        word = written[place, np.arange(walks)[:, None, None, None], np.arange(len(s))]
+        h = np.broadcast_to(n.astype(np.uint64), (walks, bands, len(s))).copy()
+        for k in range(sampled):
+            h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + word[:, :, k].astype(np.uint64))
+        h = h.reshape(walks * bands, -1) * np.uint64(0x9E3779B97F4A7C15) + np.arange(walks * bands, dtype=np.uint64)[:, None]
+        out[:, at] = mixed(h)
+    return out
+
+
+#: Walks that are tried at most, trials for each length, and lengths of items that are tried.
+MOST_WALKS, TRIALS, TRIED_LENGTHS = 48, 150, 6
+
+
+@lru_cache(maxsize=64)
+def _walks_for_length(n: int, share: float, target: float, bands: int, sampled: int, seed: int) -> int:
+    d = int(n * share + 1e-9)
+    if not d:
+        return 1
+    rng = np.random.default_rng([seed, n])
+    steps = rng.integers(0, 1 << 63, (steps_of(n), MOST_WALKS, 1), dtype=np.uint64) | np.uint64(1)
+    places = rng.random((MOST_WALKS, bands, sampled))
+    words = np.arange(1, n + 1)
+    item = band_keys(words, np.zeros(1, np.int64), np.array([n]), n + 1, steps, places)  # [walks * bands, 1]
+    met = np.zeros((TRIALS, MOST_WALKS), bool)
+    for trial in range(TRIALS):
+        text = words.tolist()
+        for _ in range(d):
+            kind, at = rng.integers(3), int(rng.integers(len(text)))
+            text[at : at + (kind != 2)] = [] if kind == 1 and len(text) > 1 else [0]
+        padded = np.array([0] * d + text + [0] * (n + d))
+        start = np.arange(2 * d + 1)
+        keys = band_keys(padded, start, np.full(len(start), n), n + 1, steps, places)
+        met[trial] = (keys == item).reshape(MOST_WALKS, bands, -1).any(axis=(1, 2))
+    recall = np.logical_or.accumulate(met, axis=1).mean(axis=0)
+    return int(np.argmax(recall >= target)) + 1 if recall[-1] >= target else MOST_WALKS
+
+
+def walks_for(lengths: list[int], share: float, target: float, bands: int, sampled: int, seed: int) -> int:
+    """The smallest number of walks (MOST_WALKS at most) with which items of these lengths are met at the target recall,
+    if floor(share * L) edits at random places put in words that no item has. Of many lengths TRIED_LENGTHS are tried,
+    evenly spread, the longest among them."""
+    tried = {lengths[len(lengths) - 1 - i * len(lengths) // TRIED_LENGTHS] for i in range(TRIED_LENGTHS)} if lengths else set()
+    return max((_walks_for_length(n, share, target, bands, sampled, seed) for n in tried), default=1)
+
+
 class Index:
     """Items ready to be looked for. Word number 0 stands for all words that no item has."""
 
-    def __init__(self, items: list[tuple[int, str | None]], share: float = 0.2, walks: int = 8, bands: int = 6, sampled: int = 2, seed: int = 11):
+    def __init__(self, items: list[tuple[int, str | None]], share: float = 0.2, target_recall: float = 0.99, walks: int | None = None, bands: int = 6, sampled: int = 2, seed: int = 11):
         known = sorted((i, w) for i, text in items if i is not None and (w := words_of(text)))
         self.item_ids = [i for i, _ in known]
         self.vocabulary = {w: n + 1 for n, w in enumerate(sorted({x for _, ws in known for x in ws}))}
@@ -75,8 +160,9 @@ class Index:
         rng = np.random.default_rng(seed)
         longest = int(self.lengths.max()) if len(self.items) else 1
         self.pad = len(self.vocabulary) + 1
-        self.steps = rng.integers(0, 1 << 63, (3 * longest, walks, 1), dtype=np.uint64) | np.uint64(1)
-        self.places = rng.random((walks, bands, sampled))
+        self.walks = walks or walks_for(sorted(set(self.lengths.tolist())), share, target_recall, bands, sampled, seed)
+        self.steps = rng.integers(0, 1 << 63, (steps_of(longest), self.walks, 1), dtype=np.uint64) | np.uint64(1)
+        self.places = rng.random((self.walks, bands, sampled))
         self.pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         self._cut()
         start = np.cumsum(self.lengths) - self.lengths
@@ -101,26 +187,10 @@ class Index:
 
     def keys(self, ids: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Band hashes [walks * bands, windows] of the windows of ids."""
-        walks, bands, sampled = self.places.shape
-        out = np.empty((walks * bands, len(start)), np.uint64)
-        padded = np.append(ids, self.pad)
-        for at in range(0, len(start), WINDOWS):
-            s, n = start[at : at + WINDOWS], length[at : at + WINDOWS]
-            steps = 3 * int(n.max())
-            i = np.zeros((walks, len(s)), np.int64)
-            written = np.empty((steps, walks, len(s)), np.int64)
-            for t in range(steps):
-                word = np.where(i < n, padded[np.minimum(s + i, len(ids))], self.pad)
-                written[t] = word
-                i += ((mixed(word.astype(np.uint64) * self.steps[t]) >> np.uint64(40)) & np.uint64(1)).astype(np.int64)
-            place = (self.places[:, :, :, None] * (3 * n)).astype(np.int64)  # [walks, bands, sampled, windows]
-            word = written[place, np.arange(walks)[:, None, None, None], np.arange(len(s))]
-            h = np.broadcast_to(n.astype(np.uint64), (walks, bands, len(s))).copy()
-            for k in range(sampled):
-                h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + word[:, :, k].astype(np.uint64))
-            h = h.reshape(walks * bands, -1) * np.uint64(0x9E3779B97F4A7C15) + np.arange(walks * bands, dtype=np.uint64)[:, None]
-            out[:, at : at + WINDOWS] = mixed(h)
-        return out
+        return band_keys(ids, start, length, self.pad, self.steps, self.places)
+
+    def batches(self, length: np.ndarray) -> Iterator[np.ndarray]:
+        return batches(length, self.walks)
 
     def windows(self, ids: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, length) of all windows that put a piece of an item in its place. low, high: for each word the ends of
@@ -174,8 +244,8 @@ class Index:
         # a window may not reach into the next text: what is over counts as no word
         inside = np.minimum(length, high[start] - start)
         best: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for at in range(0, len(start), WINDOWS):
-            s, n, m = start[at : at + WINDOWS], length[at : at + WINDOWS], inside[at : at + WINDOWS]
+        for at in self.batches(length):
+            s, n, m = start[at], length[at], inside[at]
             block = np.full((len(s), int(n.max())), self.pad)
             column = np.arange(block.shape[1])
             valid = column < m[:, None]
@@ -234,21 +304,52 @@ HITS = "array<struct<item_id:bigint,distance:int,end_word:int,item_words:int>>"
 KIND = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("end_word", pa.int32()), ("item_words", pa.int32())]))
 
 
-def finder(index: Index):
-    """Text column to array of hits."""
+def finder(index):
+    """Text column to array of hits, by a broadcast index."""
     names = [f.name for f in KIND.value_type]
-    return text_udf(lambda texts: pa.array([[dict(zip(names, h)) for h in rows] for rows in index.hits(texts)], KIND), HITS)
+    return text_udf(lambda texts: pa.array([[dict(zip(names, h)) for h in rows] for rows in index.value.hits(texts)], KIND), HITS)
+
+
+class Blocks:
+    """The indexes of the items' blocks, each built when it is asked for."""
+
+    def __init__(self, items: DataFrame, item_id: str, text: str, **how):
+        self.rows = items.select(F.col(item_id).cast("long").alias("i"), F.col(text).cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
+        total = self.rows.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
+        self.count, self.how = -(-total // BLOCK_CHARS) or 1, how
+
+    def __len__(self) -> int:
+        return self.count
+
+    def __iter__(self) -> Iterator[Index]:
+        for b in range(self.count):
+            yield Index([(r["i"], r["t"]) for r in self.rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(self.count)) == b).collect()], **self.how)
 
 
-def indexes(items: DataFrame, item_id: str, text: str, **how) -> list[Index]:
-    """An index of each block of the items."""
-    rows = items.select(F.col(item_id).cast("long").alias("i"), F.col(text).cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
-    total = rows.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
-    blocks = -(-total // BLOCK_CHARS) or 1
-    return [Index([(r["i"], r["t"]) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()], **how) for b in range(blocks)]
+def indexes(items: DataFrame, item_id: str, text: str, **how) -> Blocks:
+    return Blocks(items, item_id, text, **how)
 
 
 def with_hits(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", into: str = "hits", **how) -> DataFrame:
-    """df with an array column of the benchmark items that its text holds."""
-    found: list[Column] = [finder(x)(F.col(text).cast("string")) for x in indexes(items, item_id, item_text, **how)]
-    return df.withColumn(into, F.concat(*found) if len(found) > 1 else found[0])
+    """df with an array column of the benchmark items that its text holds, by item id."""
+    context = df.sparkSession.sparkContext
+    blocks = indexes(items, item_id, item_text, **how)
+    if len(blocks) == 1:
+        return df.withColumn(into, finder(context.broadcast(next(iter(blocks))))(F.col(text).cast("string")))
+    row, found = _unused("_row", df), []
+    texts = stored(df.withColumn(row, F.monotonically_increasing_id()), "texts")
+    for index in blocks:
+        sent = context.broadcast(index)
+        found.append(stored(texts.select(F.col(row).alias("_r"), finder(sent)(F.col(text).cast("string")).alias("_h")).where(F.size("_h") > 0), "hits"))
+        sent.destroy()
+    # an item is in one block, so a row has as many hits here as it has items
+    merged = reduce(DataFrame.union, found).groupBy("_r").agg(F.array_sort(F.flatten(F.collect_list("_h"))).alias("_h"))
+    joined = texts.join(merged, F.col(row) == F.col("_r"), "left")
+    kept = [c for c in df.columns if c != into]
+    return joined.select(*[texts[f"`{c}`"] for c in kept], F.coalesce("_h", F.array().cast(HITS)).alias(into))
+
+
+def _unused(name: str, df: DataFrame) -> str:
+    while name in df.columns:
+        name += "_"
+    return name

@@ -125,3 +125,91 @@ def test_test_tables(spark):
         want |= {(r["doc_id"], i) for i, w in items.items() if w in t}
     got = {(r["doc_id"], r["item_id"]): r["distance"] for r in q.QUERIES["op6_decontaminate"](spark, sf).collect()}
     assert {k for k, d in got.items() if d == 0} == want
+
+
+def edited_with_unknown(rng, words, edits, mark):
+    """Edits that put in words of no item."""
+    words = list(words)
+    for k in range(edits):
+        kind, at = rng.randrange(3), rng.randrange(len(words))
+        if kind == 1 and len(words) > 1:
+            del words[at]
+        else:
+            words[at : at + (kind == 0)] = [f"{mark}{k}"]
+    return words
+
+
+@pytest.fixture(scope="module")
+def many_lengths():
+    rng = random.Random(11)
+    items = [(100 * n + i, passage(rng, n)) for n in (5, 8, 20, 40, 60, 150) for i in range(30)]
+    return items, dc.Index([(i, " ".join(w)) for i, w in items])
+
+
+@pytest.mark.parametrize("share", [0, 0.05, 0.1, 0.2])
+def test_recall_with_unknown_words(many_lengths, share):
+    items, index = many_lengths
+    rng = random.Random(12)
+    texts = [passage(rng, 40) + edited_with_unknown(rng, w, int(share * len(w)), f"u{i}x") + passage(rng, 40) for i, w in items]
+    caught = [any(h[0] == i for h in hits) for (i, _), hits in zip(items, index.hits([" ".join(t) for t in texts]))]
+    for at in range(0, len(items), 30):
+        assert sum(caught[at : at + 30]) >= 29
+    assert sum(caught) >= 0.98 * len(items)
+    if not share:
+        assert all(caught)
+
+
+def test_bands_alone_meet_the_target_and_filter(many_lengths):
+    """Every window of an item's size is walked, without the lookup of pieces before."""
+    items, index = many_lengths
+    rng = random.Random(13)
+    met = strange = 0
+    for k, (_, w) in enumerate(items):
+        n, d = len(w), len(w) // 5
+        text = np.array([index.vocabulary.get(x, 0) for x in passage(rng, d) + edited_with_unknown(rng, w, d, "u") + passage(rng, 2 * n)])
+        own = index.keys(index.items[k], np.zeros(1, np.int64), np.array([n]))
+        start = np.arange(2 * d + 1)
+        met += bool((index.keys(text, start, np.full(len(start), n)) == own).any())
+        far = index.keys(text, np.array([len(text) - n]), np.array([n]))
+        strange += bool((far == own).any())
+    assert met >= 0.97 * len(items) and strange < 0.3 * len(items)  # three words are a third of this text
+
+
+def test_walks_follow_from_the_target():
+    lengths = [20, 60]
+    few, many = (dc.walks_for(lengths, 0.2, t, 6, 2, 11) for t in (0.5, 0.99))
+    assert 1 <= few < many <= dc.MOST_WALKS and dc.walks_for([4], 0.2, 0.99, 6, 2, 11) == 1
+
+
+def test_long_items_are_walked_in_bounded_batches():
+    rng = random.Random(14)
+    long = passage(rng, 5000)
+    index = dc.Index([(1, " ".join(long)), (2, "a b c d e")], walks=4)
+    sizes = np.array([5] * 9000 + [5000] * 3)
+    seen = list(index.batches(sizes))
+    assert sorted(np.concatenate(seen).tolist()) == list(range(len(sizes)))
+    assert all(len(b) == 1 or len(b) * dc.steps_of(int(sizes[b].max())) * 4 <= dc.WRITTEN for b in seen)
+    assert [h[0] for h in index.hits([" ".join(["x"] * 30 + edited_with_unknown(rng, long, 300, "q")) + " a b c d e"])[0]] == [1, 2]
+
+
+def test_edited_items_in_documents(spark, monkeypatch):
+    """Items with unknown words put in, planted in real texts, in one block and in several."""
+    rng = random.Random(15)
+    sf = "/root/testdata/sf0.001"
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    items = [(r["item_id"], dc.words_of(r["text"])) for r in bench.collect()]
+    bodies = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 5000").limit(80).collect()]
+    rows, want = [], set()
+    for k, body in enumerate(bodies):
+        i, w = items[k % len(items)]
+        share = (0, 0.05, 0.1, 0.2)[k // 20]
+        rows.append((k, f"{body} {' '.join(edited_with_unknown(rng, w, int(share * len(w)), f'q{k}x'))} {body}", "x"))
+        want.add((k, i))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string")
+    got = {(r["doc_id"], r["item_id"]) for r in q.op6(spark, docs, bench).collect()}
+    assert len(want - got) <= 1
+    monkeypatch.setattr(dc, "BLOCK_CHARS", 3000)
+    out = dc.with_hits(docs, bench)
+    assert out.columns == ["doc_id", "text", "_row", "hits"] and out.count() == len(rows)
+    in_blocks = {(r["doc_id"], h["item_id"]) for r in out.collect() for h in r["hits"]}
+    assert len(want - in_blocks) <= 1
