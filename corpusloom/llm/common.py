@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,9 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. A folder of our own only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session gets a folder
+    of its own, and a cluster an error, as no folder of the driver's would be seen by executors."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="corpusloom-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
@@ -77,3 +81,11 @@ def text_udf(fn: Callable[[list[str | None]], pa.Array], returns: str, make: Cal
 def held_out_of(doc_id: Column, folds: int, fold: int) -> Column:
     """crc32(doc_id as text) mod folds = fold; null ids are in no fold."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """The name, with underscores behind it until no column of df has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import stored, text_udf
+from corpusloom.llm.common import stored, text_udf, unused
 
 WORD = re.compile(r"\w+")
 BLOCK_CHARS = 32 << 20
@@ -112,7 +112,7 @@ def band_keys(ids: np.ndarray, start: np.ndarray, length: np.ndarray, pad: int,
 
 
 #: Walks that are tried at most, trials for each length, and lengths of items that are tried.
-MOST_WALKS, TRIALS, TRIED_LENGTHS = 48, 150, 6
+MOST_WALKS, TRIALS, TRIED_LENGTHS = 48, 300, 6
 
 
 @lru_cache(maxsize=64)
@@ -150,7 +150,7 @@ def walks_for(lengths: list[int], share: float, target: float, bands: int, sampl
 class Index:
     """Items ready to be looked for. Word number 0 stands for all words that no item has."""
 
-    def __init__(self, items: list[tuple[int, str | None]], share: float = 0.2, target_recall: float = 0.99, walks: int | None = None, bands: int = 6, sampled: int = 2, seed: int = 11):
+    def __init__(self, items: list[tuple[int, str | None]], share: float = 0.2, target_recall: float = 0.999, walks: int | None = None, bands: int = 6, sampled: int = 2, seed: int = 11):
         known = sorted((i, w) for i, text in items if i is not None and (w := words_of(text)))
         self.item_ids = [i for i, _ in known]
         self.vocabulary = {w: n + 1 for n, w in enumerate(sorted({x for _, ws in known for x in ws}))}
@@ -336,7 +336,7 @@ def with_hits(df: DataFrame, items: DataFrame, text: str = "text", item_id: str
     blocks = indexes(items, item_id, item_text, **how)
     if len(blocks) == 1:
         return df.withColumn(into, finder(context.broadcast(next(iter(blocks))))(F.col(text).cast("string")))
-    row, found = _unused("_row", df), []
+    row, found = unused("_row", df), []
     texts = stored(df.withColumn(row, F.monotonically_increasing_id()), "texts")
     for index in blocks:
         sent = context.broadcast(index)
@@ -348,8 +348,3 @@ def with_hits(df: DataFrame, items: DataFrame, text: str = "text", item_id: str
     kept = [c for c in df.columns if c != into]
     return joined.select(*[texts[f"`{c}`"] for c in kept], F.coalesce("_h", F.array().cast(HITS)).alias(into))
 
-
-def _unused(name: str, df: DataFrame) -> str:
-    while name in df.columns:
-        name += "_"
-    return name

@@ -6,7 +6,8 @@ apart by name, by whether they open or close, and by their class; a tag that was
 else the weight of an unknown tag. Words are told apart by the block element that they stand in.
 
 Labelled pages are those with exactly one ``article`` element; its words are the content. A sample of at most
-``bound`` of them, taken by a hash, trains the weights: a structured perceptron lowers the weights of what the best
+``bound`` of them, the first by a hash, whatever their length, as long as they have at most ``bound_chars`` characters
+together (one page at least), trains the weights: a structured perceptron lowers the weights of what the best
 run wrongly takes in and raises (tags to LEAST, words to 1, at most) those of what it wrongly leaves out. While
 training, words outside the content count three times and words inside half, so that the weights also hold for
 adverts and footers three times as long. Tags that mostly stand inside the content keep the smallest weight.
@@ -14,6 +15,9 @@ adverts and footers three times as long. Tags that mostly stand inside the conte
 The run's text leaves out comments, and the elements in DROPPED and those with a class in ASIDES. Character references
 are decoded, white space in a block becomes one space, blocks are joined by one space.
 
+Pages may be of any length, and are searched whole; a page is worked on in one piece, so a task needs memory for its
+longest page. Copies of a page get equal texts, and count once in training.
+
 Defined results: a null or empty page, and one without words, has the empty text. Of several runs with the largest sum
 the first and shortest is taken. Tags, comments and scripts that never end reach to the page's end. Without a
 labelled page DEFAULT_WEIGHTS hold. Other columns pass through untouched.
@@ -201,13 +205,18 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     return text_of(p, best_run(p, weights))
 
 
-def fit(df: DataFrame, page: str = "html", bound: int = 400) -> dict[str, float]:
-    """Weights from about ``bound`` labelled pages at most (twice that in no case), brought to the driver."""
-    known = df.select(F.col(page).alias("p")).where(F.col("p").contains("<article") & (F.length("p") < 200_000))
-    n = known.count()
-    if n > bound:
-        known = known.where(F.pmod(F.xxhash64("p"), F.lit(1 << 20)) < int(bound / n * (1 << 20)))
-    return train([r["p"] for r in known.limit(2 * bound).collect()])
+def fit(df: DataFrame, page: str = "html", bound: int = 400, bound_chars: int = 40_000_000) -> dict[str, float]:
+    """Weights from at most ``bound`` different labelled pages of at most ``bound_chars`` characters together (one page
+    may have more), brought to the driver."""
+    known = df.select(F.col(page).cast("string").alias("p"), F.xxhash64(F.col(page).cast("string")).alias("h")).where(F.col("p").contains("<article"))
+    chosen, held = [], 0
+    for r in known.groupBy("h").agg(F.max(F.length("p")).alias("n")).orderBy("h").limit(bound).collect():
+        held += r["n"]
+        if chosen and held > bound_chars:
+            break
+        chosen.append(r["h"])
+    pages = known.where(F.col("h").isin(chosen)).groupBy("h").agg(F.min("p").alias("p")) if chosen else known.limit(0)
+    return train([r["p"] for r in pages.orderBy("h").collect()])
 
 
 def with_text(df: DataFrame, weights: dict[str, float], page: str = "html", into: str = "main_text") -> DataFrame:

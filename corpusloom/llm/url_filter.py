@@ -2,7 +2,9 @@
 
 An Aho-Corasick automaton finds the vocabulary's terms in the lower-cased host and path in one pass. A hit counts
 only with a boundary on either side (the text's end, or a character that is no ASCII letter or digit). One strict
-term rejects a URL, and so do ``soft_needed`` different soft terms.
+term rejects a URL, and so do soft terms whose weights, each different term once, sum up to ``soft_needed``. The vocabulary
+is a table of terms (``vocabulary``), in lower case, of which MOST_TERMS are allowed, as it goes to every task; STRICT
+and SOFT (each of weight 1) are what the query takes.
 
 The host is what stands after the first ``://`` up to ``/``, ``?``, ``#`` or the end, with A-Z lower-cased; the path is
 what follows, up to ``?`` or ``#``. A rule fits its host and all its subdomains if the path starts with the rule's. Of
@@ -10,7 +12,8 @@ the rules that fit, the longest (host and path together) decides; rules of one l
 they are equal. The verdict is the rule's, or else the vocabulary's.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, no rule, and the verdict ``allow``.
-Repeated rows get equal results. Other columns pass through untouched.
+Repeated rows get equal results. URLs may be of any length. Other columns pass through untouched; a column of the name
+``into`` is replaced.
 """
 
 from __future__ import annotations
@@ -22,12 +25,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import text_udf
+from corpusloom.llm.common import text_udf, unused
 
 STRICT = ("casino", "porn", "xxx", "viagra", "malware", "phishing")
 SOFT = ("ads", "bet", "bets", "bonus", "cheap", "deal", "deals", "farm", "free", "loan", "pills", "poker", "spam", "track", "win")
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Terms of a vocabulary at most.
+MOST_TERMS = 200_000
+
+
+def vocabulary(terms: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
+    """(strict, soft) terms with their weights, from a table (term, strict boolean, weight double). A term that is there
+    more than once is strict if it is so once, and has its largest weight; a null weight is 1. Terms that are null or
+    empty are left out; more than MOST_TERMS are an error."""
+    term = F.translate(F.col("term"), UPPER, LOWER).alias("term")
+    rows = terms.where("term IS NOT NULL AND term <> ''").groupBy(term).agg(F.bool_or(F.coalesce("strict", F.lit(False))).alias("strict"), F.max(F.coalesce("weight", F.lit(1.0))).alias("weight")).limit(MOST_TERMS + 1).collect()
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms")
+    return tuple({r["term"]: r["weight"] for r in sorted(rows) if r["strict"] == kind} for kind in (True, False))
+
+
 @dataclass(frozen=True)
 class Rule:
     verdict: str
@@ -47,8 +66,6 @@ RULES = (
     Rule("block", "net", "/fr/"),
 )
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     rest = F.coalesce(F.regexp_extract(url, r"(?s)^.*?://(.*)$", 1), F.lit(""))
@@ -96,25 +113,33 @@ def hits(text: str, strict: tuple[str, ...], soft: tuple[str, ...]) -> tuple[set
     return found
 
 
-def counter(strict: tuple[str, ...], soft: tuple[str, ...]):
-    """Text column to struct(strict, soft): how many different terms of each kind stand in it."""
+def counter(strict: dict[str, float], soft: dict[str, float]):
+    """Text column to struct(strict, soft, weight): how many different terms of each kind stand in it, and the soft ones'
+    weight."""
+    names = tuple(strict), tuple(soft)
 
     def count(texts: list[str | None]) -> pa.Array:
-        found = [hits(t, strict, soft) if t else ((), ()) for t in texts]
-        return pa.StructArray.from_arrays([pa.array([len(x[k]) for x in found], pa.int32()) for k in (0, 1)], ["strict", "soft"])
+        found = [hits(t, *names) if t else ((), ()) for t in texts]
+        sizes = [pa.array([len(x[k]) for x in found], pa.int32()) for k in (0, 1)]
+        return pa.StructArray.from_arrays([*sizes, pa.array([float(sum(soft[t] for t in x[1])) for x in found], pa.float64())], ["strict", "soft", "weight"])
+
+    return text_udf(count, "struct<strict:int,soft:int,weight:double>")
+
 
-    return text_udf(count, "struct<strict:int,soft:int>")
+def weighed(terms: dict[str, float] | tuple[str, ...]) -> dict[str, float]:
+    return terms if isinstance(terms, dict) else dict.fromkeys(terms, 1.0)
 
 
-def judge(df: DataFrame, url: str = "url", into: str = "judged", rules: tuple[Rule, ...] = RULES, strict: tuple[str, ...] = STRICT, soft: tuple[str, ...] = SOFT, soft_needed: int = 2) -> DataFrame:
-    """df with a struct column: host, path, rule (null if none), verdict, strict and soft hits."""
+def judge(df: DataFrame, url: str = "url", into: str = "judged", rules: tuple[Rule, ...] = RULES, strict: dict[str, float] | tuple[str, ...] = STRICT, soft: dict[str, float] | tuple[str, ...] = SOFT, soft_needed: float = 2) -> DataFrame:
+    """df with a struct column: host, path, rule (null if none), verdict, strict and soft hits. ``strict`` and ``soft``:
+    terms with their weights, or terms of weight 1."""
     host, path = host_and_path(F.col(url).cast("string"))
-    parts, terms = f"{into}_parts", f"{into}_terms"
+    parts, terms = unused(f"{into}_parts", df), unused(f"{into}_terms", df)
     df = df.withColumn(parts, F.struct(host.alias("host"), path.alias("path")))
     h, p = F.col(parts)["host"], F.col(parts)["path"]
-    df = df.withColumn(terms, counter(tuple(strict), tuple(soft))(F.translate(F.concat(h, p), UPPER, LOWER)))
+    df = df.withColumn(terms, counter(weighed(strict), weighed(soft))(F.translate(F.concat(h, p), UPPER, LOWER)))
     n = F.col(terms)
-    rejected = (n["strict"] > 0) | (n["soft"] >= soft_needed)
+    rejected = (n["strict"] > 0) | (n["weight"] >= soft_needed)
     rule = rule_of(h, p, rules)
     fields = F.struct(
         h.alias("host"),

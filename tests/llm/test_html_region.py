@@ -79,3 +79,18 @@ def test_pages_of_the_test_tables(spark):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     wrong = [r["page_id"] for r in q.QUERIES["op9_html_region"](spark, sf).collect() if r["text"] != between(pages[r["page_id"]])]
     assert not wrong
+
+
+def test_long_pages_are_learned_from_within_the_bound(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(h, "train", lambda pages: seen.append(pages) or {})
+    pages = [f"<article><p>{'word ' * n} {n}</p></article>" for n in (10, 100, 60_000, 20)]
+    df = spark.createDataFrame([(p,) for p in [*pages, pages[2], pages[2], None, "<p>none</p>"]], "html string").repartition(3)
+    h.fit(df)
+    assert sorted(seen[-1], key=len) == sorted(pages, key=len)
+    h.fit(df, bound=2)
+    first = seen[-1]
+    h.fit(df.coalesce(1), bound=2)
+    assert seen[-1] == first and len(first) == 2
+    h.fit(df, bound_chars=1)
+    assert len(seen[-1]) == 1

@@ -58,3 +58,14 @@ def test_edge_cases(spark):
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == urls[url], url
     assert q.op10(spark, df.where("page_id < 0")).count() == 0
     assert u.judge(df).columns == ["page_id", "url", "rule", "judged"]
+
+
+def test_vocabulary_from_a_table(spark):
+    rows = [("Alpha", True, None), ("beta", False, 1.5), ("beta", False, 0.5), ("gamma", False, None), ("delta", False, 3.0), ("", True, 1.0), (None, True, 1.0), ("delta", None, None)]
+    strict, soft = u.vocabulary(spark.createDataFrame(rows, "term string, strict boolean, weight double"))
+    assert strict == {"alpha": 1.0} and soft == {"beta": 1.5, "gamma": 1.0, "delta": 3.0}
+    urls = ["http://x.org/beta", "http://x.org/beta-gamma", "http://x.org/beta-beta", "http://x.org/delta", "http://ALPHA.org/"]
+    df = spark.createDataFrame([(x, 0, 1) for x in urls], "url string, judged_parts int, JUDGED_TERMS int")
+    out = u.judge(df, rules=(), strict=strict, soft=soft)
+    assert out.columns == ["url", "judged_parts", "JUDGED_TERMS", "judged"]
+    assert [r["judged"]["verdict"] for r in out.collect()] == ["allow", "block", "allow", "block", "block"]
