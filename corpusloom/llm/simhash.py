@@ -12,11 +12,14 @@ meets in a cell is verified by its differing bits.
 
 Copies count once: the grid holds each distinct fingerprint with its smallest doc_id. A cell where too many pairs would
 meet (a large group of texts that differ a little) is worked on in blocks of bounded size instead, which give back a
-spanning forest of their links and not all of them. No link is lost, and no group is gathered anywhere.
+spanning forest of their links and not all of them. No link is lost, and no group is gathered anywhere. Components go
+back to the rows by a join on the fingerprint; those that over one row in ``RARE`` has are at most RARE in number, and are
+broadcast, so that no task gets all copies of a text.
 
 Defined results: a null text counts as an empty one, and texts without words are linked like any others. Rows with a
 null doc_id get a fingerprint; they link others only through a row with an id, and their component_id is null if
-nothing they equal or link to has an id. Repeated doc_ids are kept. Other columns are ignored.
+nothing they equal or link to has an id. Repeated doc_ids are kept. Texts may be of any length and are hashed whole.
+Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,6 +43,8 @@ SHINGLE, SEED, DISTANCE = 3, 42, 3
 HOT_PAIRS = 20_000
 #: Fingerprints of a block.
 BLOCK = 2048
+#: A fingerprint of more than one row in so many isn't shuffled with its rows.
+RARE = 1000
 
 
 def hashes(text: str) -> list[int]:
@@ -157,11 +162,14 @@ def links(distinct: DataFrame) -> DataFrame:
 def cluster(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fingerprint as 16 hexadecimal digits, component_id: the smallest key reachable over links)."""
     rows = checkpointed(with_fingerprints(df.select(F.col(key), F.col(text).alias("text")), "text", "fp").select(key, "fp"))
-    distinct = checkpointed(rows.groupBy("fp").agg(F.min(key).alias("least")))
+    distinct = checkpointed(rows.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("n")))
     # nodes are fingerprints; their order is made that of the smallest keys afterwards
     joined = components(links(distinct).select(F.col("x").alias("a"), F.col("y").alias("b")))
     smallest = joined.join(distinct, joined["node"] == distinct["fp"]).groupBy("component").agg(F.min("least").alias("component_id"))
     moved = joined.join(smallest, "component").select(F.col("node").alias("fp"), "component_id")
-    named = distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    hexadecimal = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return rows.join(named, "fp").select(key, hexadecimal.alias("fingerprint"), "component_id")
+    named = checkpointed(distinct.join(moved, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")))
+    most = (named.agg(F.sum("n")).first()[0] or 0) // RARE + 1
+    frequent = F.broadcast(named.where(F.col("n") > most).select("fp", "component_id"))
+    rare = rows.join(frequent, "fp", "left_anti").join(named.where(F.col("n") <= most), "fp")
+    found = rows.join(frequent, "fp").select(key, "fp", "component_id").unionByName(rare.select(key, "fp", "component_id"))
+    return found.select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
