@@ -81,3 +81,37 @@ def test_texts_without_quotes_pass_unchanged(spark):
     want = {(r["conv_id"], r["turn"]): r["text"] for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
     for r in q.QUERIES["op3_quote_threads"](spark, sf).collect():
         assert want[r["conv_id"], r["turn"]].strip("\n") == r["own_text"] and r["root_turn"] == r["turn"] and r["n_quoted"] == 0
+
+
+def test_conversations_against_plain_python(spark):
+    """Every thread in the order of its turns, own texts only, cut into parts; one with most messages among them."""
+    rng = random.Random(9)
+    rows, said = [], {}
+    for c, n in [(1, 300), (2, 7), (3, 1), (4, 40)]:
+        for t in range(n):
+            text = f"message {t} of {c}, {rng.random()}"
+            if t and rng.random() < 0.8:
+                text = f"> {said[c, rng.randrange(t)]}\n\n{text}"
+            said[c, t] = text.split("\n")[-1]
+            rows.append((c, t, rng.choice(["user", "assistant"]), text))
+    rows += [(None, 1, "user", "no conversation"), (2, None, "user", "no turn"), (5, 1, None, None), (2, 3, "user", "again")]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "conv_id long, turn long, role string, text string, position int, C string").repartition(7)
+    out = qt.thread(df)
+    assert out.columns == ["conv_id", "turn", "role", "text", "position", "C", "reply"]
+    want = {}
+    answers = brute([(c, t, x) for c, t, _, x in rows])
+    for c, t, role, text in rows:
+        want.setdefault((c, answers[c, t][1]), []).append((t, role, qt.parse(text)[0]))
+    built = {}
+    for r in qt.conversations(out, most=16).collect():
+        assert len(r["messages"]) <= 16
+        built.setdefault((r["conversation"], r["root_turn"]), []).append((r["part"], r["messages"]))
+    assert set(built) == set(want)
+    for key, parts in built.items():
+        parts.sort()
+        assert [p for p, _ in parts] == list(range(len(parts)))
+        got = [m for _, ms in parts for m in ms]
+        assert [m["position"] for m in got] == list(range(len(got)))
+        assert [m["turn"] for m in got] == sorted((t for t, _, _ in want[key]), key=lambda t: t or 0)
+        assert sorted((m["turn"] or 0, m["role"] or "", m["text"]) for m in got) == sorted((t or 0, r or "", x) for t, r, x in want[key])
+        assert all(not m["text"].startswith(">") for m in got)
