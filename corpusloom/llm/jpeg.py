@@ -10,7 +10,9 @@ of intervals that hold payload is in a comment segment; an image is nine blocks
 then a multiple of that, filled up with intervals of bytes 255. ``payloads`` reads the bytes back.
 
 Defined results: a null text is stored as an empty one, and an empty one as 576 bytes 255. Equal texts give equal
-bytes. Texts may be as long as Spark's strings: work is cut at intervals, so memory follows the slice and not the text.
+bytes. Texts may be of any length that the worker has memory for: batches are cut into slices of a few megabytes, but a
+text is worked on whole, with some 25 bytes of memory for each of its own (400 MB for one of 16 MB). Repeated rows get
+equal results; other columns pass through untouched, and a column of the name ``into`` is replaced.
 """
 
 from __future__ import annotations

@@ -2,8 +2,8 @@
 
 Each word gets a score for each language from its affixes, its character n-grams and its entry in a lexicon of
 frequent words; learned transition scores tie neighbouring words together. Forward-backward gives each word's
-marginal over the languages. A text's language is the one with the largest sum of marginals, its score that
-sum's share.
+marginal over the languages: ``label_words`` returns every word's likeliest language, ``predict`` the text's, the one with
+the largest sum of marginals, its score being that sum's share.
 
 Training: for each language about ``per_label`` windows of whole texts, taken by a hash of their text, are brought
 to the driver (the bound is ``per_label`` times the number of languages; nothing else of the corpus is). Windows
@@ -11,7 +11,8 @@ of different languages are spliced into sequences, so that transitions are learn
 
 Defined results: a null text, an empty one and one without a letter are ``und`` with score 0. Repeated rows get
 equal results. With no labelled text every result is ``und`` with score 0. Ties go to the language that sorts
-first. Other columns pass through untouched.
+first. Texts may be of any length and are read whole; a task needs some 100 bytes for each word of its longest text and
+language. Other columns pass through untouched; a column of the name ``into`` is replaced.
 """
 
 from __future__ import annotations
@@ -235,6 +236,30 @@ def sample(df: DataFrame, text: str, label: str, per_label: int = 250, window: i
     return [(r["y"], r["t"]) for r in rows]
 
 
+class Labeller:
+    """A model with the scores of the words that were seen."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.seen: dict[str, int] = {}
+        self.rows = np.zeros((0, len(model.labels)))
+
+    def marginals(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(marginals of all words end to end [T, K], number of words of each list); one word at least."""
+        if len(self.seen) > CACHED_WORDS:
+            self.seen.clear()
+            self.rows = self.rows[:0]
+        fresh = list(dict.fromkeys(w for x in lists for w in x if w not in self.seen))
+        if fresh:
+            self.seen.update(zip(fresh, range(len(self.seen), len(self.seen) + len(fresh))))
+            self.rows = np.concatenate([self.rows, self.model.scores(fresh)])
+        lengths = np.array([len(x) for x in lists], dtype=np.int64)
+        ids = np.fromiter((self.seen[w] for x in lists for w in x), dtype=np.int64, count=int(lengths.sum()))
+        first = np.zeros(len(ids), bool)
+        first[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
+        return marginals(self.rows[ids], first, self.model.trans, self.model.start)[0], lengths
+
+
 RESULT = "struct<lang_pred:string,score:double>"
 
 
@@ -242,31 +267,16 @@ def predictor(model: Model | None):
     """Text column to struct(lang_pred, score)."""
 
     def make():
-        seen: dict[str, int] = {}
-        rows = np.zeros((0, 1))
+        labeller = Labeller(model) if model else None
 
         def predict(texts: list[str | None]) -> pa.Array:
-            nonlocal rows
             lists = [words_of(t) for t in texts] if model else [[] for _ in texts]
-            lengths = np.array([len(x) for x in lists], dtype=np.int64)
             langs: list[str] = [UNKNOWN] * len(texts)
             scores = np.zeros(len(texts))
-            if lengths.sum():
-                if len(seen) > CACHED_WORDS:
-                    seen.clear()
-                    rows = rows[:0]
-                fresh = list(dict.fromkeys(w for x in lists for w in x if w not in seen))
-                if fresh:
-                    seen.update(zip(fresh, range(len(seen), len(seen) + len(fresh))))
-                    got = model.scores(fresh)
-                    rows = np.concatenate([rows.reshape(-1, got.shape[1]), got])
-                ids = np.fromiter((seen[w] for x in lists for w in x), dtype=np.int64, count=int(lengths.sum()))
+            if any(lists):
+                m, lengths = labeller.marginals(lists)
                 full = np.flatnonzero(lengths)
-                starts = np.cumsum(lengths[full]) - lengths[full]
-                first = np.zeros(len(ids), bool)
-                first[starts] = True
-                m, _, _ = marginals(rows[ids], first, model.trans, model.start)
-                share = np.add.reduceat(m, starts, axis=0) / lengths[full][:, None]
+                share = np.add.reduceat(m, (np.cumsum(lengths) - lengths)[full], axis=0) / lengths[full][:, None]
                 best = share.argmax(axis=1)
                 scores[full] = np.minimum(share[np.arange(len(full)), best], 1.0)
                 for i, k in zip(full, best):
@@ -278,6 +288,33 @@ def predictor(model: Model | None):
     return text_udf(None, RESULT, make)
 
 
+WORD_LABELS = "array<struct<word:string,lang:string,score:double>>"
+WORD_KIND = pa.list_(pa.struct([("word", pa.string()), ("lang", pa.string()), ("score", pa.float64())]))
+
+
+def label_words(df: DataFrame, model: Model | None, text: str = "text", into: str = "word_labels") -> DataFrame:
+    """df with an array column: each word of the text, in lower case, with its likeliest language and that one's marginal.
+    Empty for texts without a letter, and without a model."""
+
+    def make():
+        labeller = Labeller(model) if model else None
+
+        def label(texts: list[str | None]) -> pa.Array:
+            lists = [words_of(t) for t in texts] if model else [[] for _ in texts]
+            if not any(lists):
+                return pa.array([[] for _ in texts], WORD_KIND)
+            m, lengths = labeller.marginals(lists)
+            best = m.argmax(axis=1)
+            words = pa.array([w for x in lists for w in x], pa.string())
+            langs = pa.array(model.labels, pa.string()).take(pa.array(best))
+            each = pa.StructArray.from_arrays([words, langs, pa.array(m[np.arange(len(best)), best], pa.float64())], ["word", "lang", "score"])
+            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), each)
+
+        return label
+
+    return df.withColumn(into, text_udf(None, WORD_LABELS, make)(F.col(text).cast("string")))
+
+
 def fit(df: DataFrame, text: str = "text", label: str = "lang", **how: int) -> Model | None:
     return train(sample(df, text, label, **how))
 

@@ -96,3 +96,21 @@ def test_labels_of_held_out_rows_are_not_used(spark, result):
     a = {r["doc_id"]: r["lang_pred"] for r in result.collect()}
     b = {r["doc_id"]: r["lang_pred"] for r in again.collect()}
     assert a == b
+
+
+def test_words_of_switched_text_get_labels_of_their_own(spark):
+    en, fr = "the cat sat on the mat and the dog ran", "le chat noir dans la maison avec une souris"
+    model = crf.train([("en", en), ("fr", fr)] * 4)
+    rows = [(1, f"{en}. {fr}!"), (2, None), (3, "12 --"), (4, ""), (5, "The CAT"), (5, "The CAT")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id int, text string, lang string")
+    out = crf.label_words(df, model)
+    assert out.columns == ["doc_id", "text", "lang", "word_labels"]
+    got = out.orderBy("doc_id").collect()
+    first = got[0]["word_labels"]
+    assert [w["word"] for w in first] == en.split() + fr.split()
+    assert [w["lang"] for w in first] == ["en"] * len(en.split()) + ["fr"] * len(fr.split())
+    assert [r["word_labels"] for r in got[1:4]] == [[], [], []] and got[4]["word_labels"] == got[5]["word_labels"]
+    # they are the marginals that the text's score is the mean of
+    whole = crf.predict(df.where("doc_id = 5"), model).first()["language"]
+    assert whole["lang_pred"] == "en" and whole["score"] == pytest.approx(sum(w["score"] for w in got[4]["word_labels"]) / 2)
+    assert crf.label_words(df, None).where("size(word_labels) > 0").count() == 0
