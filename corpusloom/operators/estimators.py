@@ -22,12 +22,16 @@ def alpha(values: DataFrame, unit: str, coder: str, value: str) -> DataFrame:
     return by_value.agg(F.when(n <= 1, F.lit(None)).when(expected == 0, F.lit(1.0)).otherwise(1 - observed / expected).cast("double").alias("alpha"), F.coalesce(n, F.lit(0)).alias("values"))
 
 
-def precision_recall(df: DataFrame, by: list[str], predicted: str, gold: str, weight: str) -> DataFrame:
-    """Weighted precision and recall by group; null where nothing is predicted or gold."""
+def precision_recall(df: DataFrame, by: list[str], predicted: str, gold: str, weight: str, overall: bool = False) -> DataFrame:
+    """Weighted precision and recall by group; null where nothing is predicted or gold. With ``overall`` also a row for
+    all, whose group is null (rows without a group are left out then)."""
     w, p, g = F.col(weight), F.col(predicted), F.col(gold)
     total = lambda c: F.coalesce(F.sum(F.when(c, w)), F.lit(0.0))
-    rows = df.groupBy(*by) if by else df.groupBy()
-    return rows.agg(F.count("*").alias("n"), F.try_divide(total(p & g), total(p)).alias("precision"), F.try_divide(total(p & g), total(g)).alias("recall"))
+    if overall:
+        grouped = df.na.drop(subset=by).groupingSets([[F.col(c) for c in by], []], *by)
+    else:
+        grouped = df.groupBy(*by)
+    return grouped.agg(F.count("*").alias("n"), F.try_divide(total(p & g), total(p)).alias("precision"), F.try_divide(total(p & g), total(g)).alias("recall"))
 
 
 def wilson(successes: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,33 +11,29 @@ def order_of(seed: str, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
-def shares(sizes: dict[str, int], n: int, least: int) -> dict[str, int]:
-    """n seats over groups: min(least, size) each, the rest in proportion to size, by whole quotas and then by largest
-    remainder (ties: greatest name); never over a group's size."""
-    seats = {k: min(least, s) for k, s in sizes.items()}
-    while (left := n - sum(seats.values())) > 0:
-        room = {k: s - seats[k] for k, s in sizes.items() if s > seats[k]}
-        total = sum(sizes[k] for k in room)
-        if not total:
-            break
-        given = {k: min(left * sizes[k] // total, r) for k, r in room.items()}
-        if any(given.values()):
-            for k, x in given.items():
-                seats[k] += x
-        else:
-            seats[max(room, key=lambda k: (left * sizes[k] / total % 1, k))] += 1
-    return seats
-
-
 def allocation(population: DataFrame, stratum: str, source: str, quotas: dict[str, int], least: int) -> DataFrame:
-    """(stratum, source, size, seats). Each stratum's sources are few; each is a group of one task."""
-
-    def one(counts: pd.DataFrame) -> pd.DataFrame:
-        got = shares(dict(zip(counts["source"], counts["size"].astype(int))), quotas.get(counts["stratum"].iloc[0], 0), least)
-        return counts.assign(seats=[got[s] for s in counts["source"]])
-
-    counts = population.groupBy(F.col(stratum).alias("stratum"), F.col(source).alias("source")).agg(F.count("*").alias("size"))
-    return counts.groupBy("stratum").applyInPandas(one, "stratum string, source string, size long, seats long")
+    """(stratum, source, size, seats): ``quotas`` seats of each stratum over its sources. A source gets min(least, size), and
+    of the seats that are left a share in proportion to its size, as far as it has room.
+
+    So shares are min(room, level * size) with one level for the stratum, which follows from the sources in the order in
+    which they fill up: of those that don't, the level is what is left for them by their size. Parts of seats go to the
+    largest, ties to the greatest name. All of it is whole numbers, windows over a row a source, and no seat is over."""
+    seats = F.coalesce(F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])[F.col("stratum")], F.lit(0)) if quotas else F.lit(0)
+    all_of, upto = Window.partitionBy("stratum"), Window.partitionBy("stratum").orderBy("fill", "source")
+    before = upto.rowsBetween(Window.unboundedPreceding, -1)
+    sizes = population.groupBy(F.col(stratum).alias("stratum"), F.col(source).alias("source")).agg(F.count("*").alias("size"))
+    rows = sizes.withColumn("sure", F.least(F.lit(least).cast("bigint"), "size")).withColumn("room", F.col("size") - F.col("sure"))
+    rows = rows.withColumn("rest", F.greatest(F.lit(0), seats - F.sum("sure").over(all_of))).withColumn("fill", F.col("room") / F.col("size"))
+    rows = rows.withColumn("place", F.row_number().over(upto)).withColumn("left", F.col("rest") - F.coalesce(F.sum("room").over(before), F.lit(0))).withColumn("among", F.sum("size").over(all_of) - F.coalesce(F.sum("size").over(before), F.lit(0)))
+    # the first source that doesn't fill up
+    level = F.min(F.when(F.col("left") * F.col("size") <= F.col("room") * F.col("among"), F.struct("place", "left", "among"))).over(all_of)
+    rows = rows.withColumn("level", level).withColumn("open", F.coalesce(F.col("place") >= F.col("level.place"), F.lit(False)))
+    product = F.when(F.col("open"), F.greatest(F.lit(0), F.col("level.left")) * F.col("size"))
+    rows = rows.withColumn("whole", F.coalesce(F.floor(product / F.col("level.among")), F.col("room"))).withColumn("part", F.coalesce(product % F.col("level.among"), F.lit(0)))
+    over = F.greatest(F.lit(0), F.col("level.left")) - F.sum(F.when(F.col("open"), F.col("whole"))).over(all_of)
+    first = F.row_number().over(Window.partitionBy("stratum").orderBy(F.desc("part"), F.desc("source")))
+    extra = F.when((F.col("part") > 0) & (first <= over), 1).otherwise(0)
+    return rows.select("stratum", "source", "size", (F.col("sure") + F.col("whole") + extra).cast("bigint").alias("seats"))
 
 
 def draw(population: DataFrame, key: str, stratum: str, source: str, seats: DataFrame, seed: str) -> DataFrame:

@@ -87,8 +87,9 @@ def gold_majority(spark, sf):
 
 
 def _judged(spark, sf):
-    m = texts.matched(spark, sf).select("doc_id", "source", F.col("candidate").alias("p"))
-    return load(spark, sf, "labels").select("doc_id", (F.col("quality") == 1).alias("g")).join(m, "doc_id").withColumn("w", (F.col("doc_id") % 7 + 1).cast("double"))
+    l = load(spark, sf, "labels").select("doc_id", (F.col("quality") == 1).alias("g"))
+    m = texts.matched(spark, sf, l).select("doc_id", "source", F.col("candidate").alias("p"))
+    return l.join(m, "doc_id").withColumn("w", (F.col("doc_id") % 7 + 1).cast("double"))
 
 
 def _rounded(df):
@@ -96,9 +97,7 @@ def _rounded(df):
 
 
 def precision_recall(spark, sf):
-    j = _judged(spark, sf)
-    overall = estimators.precision_recall(j, [], "p", "g", "w").select(F.lit("all").alias("source"), "n", "precision", "recall")
-    return _rounded(overall.unionByName(estimators.precision_recall(j, ["source"], "p", "g", "w")))
+    return _rounded(estimators.precision_recall(_judged(spark, sf), ["source"], "p", "g", "w", overall=True).withColumn("source", F.coalesce("source", F.lit("all"))))
 
 
 def extension_rule(spark, sf):
@@ -135,8 +134,9 @@ def projected_cost(spark, sf):
 
 
 def undecided(spark, sf):
-    wanted = spark.range(31, 1000).select(F.col("id").alias("event_id"))
-    flight = spark.range(40, 100).select(F.col("id").alias("event_id"))
+    """All documents are wanted, labelled ones under way."""
+    wanted = load(spark, sf, "documents").select(F.col("doc_id").alias("event_id"))
+    flight = load(spark, sf, "labels").select(F.col("doc_id").alias("event_id"))
     return judging.undecided(wanted, judging.state(_results(spark, sf)), flight)
 
 
@@ -168,7 +168,15 @@ CODED = """WITH b AS (SELECT doc_id, quality = 1 AS q, toxic = 1 AS t FROM label
 JUDGED = texts.M + ", j AS (SELECT l.doc_id, source, candidate AS p, quality = 1 AS g, CAST(l.doc_id % 7 + 1 AS DOUBLE) AS w FROM labels l JOIN m ON m.doc_id = l.doc_id) "
 _PR = "count(*) AS n, round(coalesce(sum(w) FILTER (p AND g), 0) / nullif(coalesce(sum(w) FILTER (p), 0), 0), 6) AS precision, round(coalesce(sum(w) FILTER (p AND g), 0) / nullif(coalesce(sum(w) FILTER (g), 0), 0), 6) AS recall FROM j"
 RESULTS = "WITH r AS (SELECT user_id * 31 + day(ts) AS event_id, event_type = 'click' AS won, value / 1000 AS cost FROM events), s AS (SELECT event_id, bool_or(won) AS decided, CAST(count_if(NOT won) AS BIGINT) AS failures, sum(cost) AS spent FROM r GROUP BY event_id) "
+_QUOTA = " ".join(f"WHEN '{k}' THEN {v}" for k, v in QUOTAS.items())
 ORACLE_SQL = {
+    "allocation": f"""WITH s AS (SELECT lang AS stratum, source, count(*) AS size FROM documents GROUP BY 1, 2), a AS (SELECT *, least(2, size) AS sure, size - least(2, size) AS room FROM s),
+      b AS (SELECT *, greatest(0, (CASE stratum {_QUOTA} ELSE 0 END) - sum(sure) OVER (PARTITION BY stratum)) AS rest, row_number() OVER (PARTITION BY stratum ORDER BY room / size, source) AS place FROM a),
+      c AS (SELECT *, rest - coalesce(sum(room) OVER p, 0) AS lft, sum(size) OVER (PARTITION BY stratum) - coalesce(sum(size) OVER p, 0) AS among FROM b WINDOW p AS (PARTITION BY stratum ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+      l AS (SELECT stratum, min(place) AS nth FROM c WHERE lft * size <= room * among GROUP BY stratum), k AS (SELECT c.stratum, nth, greatest(0, lft) AS lft, among FROM c JOIN l ON c.stratum = l.stratum AND place = nth),
+      d AS (SELECT c.stratum, source, size, sure, CASE WHEN place >= nth THEN floor(k.lft * size / k.among) ELSE room END AS whole, CASE WHEN place >= nth THEN (k.lft * size) % k.among ELSE 0 END AS part, coalesce(place >= nth, false) AS free, coalesce(k.lft, 0) AS lft FROM c LEFT JOIN k USING (stratum)),
+      e AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY part DESC, source DESC) AS r, lft - coalesce(sum(whole) FILTER (free) OVER (PARTITION BY stratum), 0) AS over FROM d)
+      SELECT stratum, source, size, CAST(sure + whole + CASE WHEN part > 0 AND r <= over THEN 1 ELSE 0 END AS BIGINT) AS seats FROM e""",
     "stratified_draw": DRAWN + "SELECT * FROM drawn",
     "draw_positions": DRAWN + "SELECT doc_id, row_number() OVER (ORDER BY md5('7/position:' || doc_id), doc_id) - 1 AS position FROM drawn",
     "assignment": DRAWN
@@ -193,7 +201,7 @@ ORACLE_SQL = {
     "classifier_state": RESULTS + "SELECT decided, NOT decided AND failures >= 3 AS given_up, count(*) AS n, CAST(sum(failures) AS BIGINT) AS failures, round(sum(spent), 6) AS spent FROM s GROUP BY 1, 2",
     "projected_cost": RESULTS
     + ", t AS (SELECT count_if(decided) AS d, sum(spent) AS s FROM s), c AS (SELECT s + (CASE WHEN d >= 1000 THEN s / d ELSE CAST(0.0025 AS DOUBLE) END) * (100000 - d) AS c FROM t) SELECT round(c, 6) AS projected, c > 500 AS over FROM c",
-    "undecided": RESULTS + "SELECT event_id FROM (SELECT unnest(generate_series(31, 999)) AS event_id) w WHERE NOT (event_id BETWEEN 40 AND 99) AND event_id NOT IN (SELECT event_id FROM s WHERE decided OR failures >= 3)",
+    "undecided": RESULTS + "SELECT doc_id AS event_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND doc_id NOT IN (SELECT event_id FROM s WHERE decided OR failures >= 3)",
     "fetch_outcomes": """WITH o AS (SELECT source AS outlet_id, CASE WHEN doc_id % 7 = 0 THEN 'gone' WHEN doc_id % 11 = 0 THEN 'failed' WHEN doc_id % 5 = 0 THEN 'edited' ELSE 'unchanged' END AS outcome FROM documents)
       SELECT outlet_id, outcome, count(*) AS n, CAST(count_if(outcome = 'edited') AS BIGINT) AS compared FROM o GROUP BY ALL""",
 }

@@ -149,7 +149,10 @@ def number_bounds(spark, sf):
 
 
 def probe_ids(spark, sf):
-    return discovery.numbers_to_probe(spark, 10, 390, load(spark, sf, "labels"), "doc_id").select("id")
+    """Ids between the smallest and the largest labelled one that have no label."""
+    l = load(spark, sf, "labels")
+    lo, hi = l.agg(F.min("doc_id"), F.max("doc_id")).first()
+    return discovery.numbers_to_probe(spark, lo, hi, l, "doc_id").select("id")
 
 
 def release_index(spark, sf):
@@ -228,7 +231,7 @@ ORACLE_SQL = {
     + """, e AS (SELECT min(id) AS i0, max(id) AS i1, min(day) AS d0, max(day) AS d1, (max(id) - min(id)) / greatest(1, max(day) - min(day)) AS rate FROM c),
       b AS (SELECT arg_max(id, day) FILTER (day <= DATE '2024-01-07') AS b, max(day) FILTER (day <= DATE '2024-01-07') AS bd, arg_min(id, day) FILTER (day >= DATE '2024-01-31') AS a, min(day) FILTER (day >= DATE '2024-01-31') AS ad FROM c)
       SELECT CAST(round_even(coalesce(b, i0) - rate * greatest(0, coalesce(bd, d0) - DATE '2024-01-07'), 0) AS BIGINT) AS lo, CAST(round_even(coalesce(a, i1) + rate * greatest(0, DATE '2024-01-31' - coalesce(ad, d1)), 0) AS BIGINT) AS hi FROM b, e""",
-    "probe_ids": "SELECT id FROM (SELECT unnest(generate_series(10, 390)) AS id) WHERE id NOT IN (SELECT doc_id FROM labels)",
+    "probe_ids": "SELECT id FROM (SELECT unnest(generate_series(min(doc_id), max(doc_id))) AS id FROM labels) WHERE id NOT IN (SELECT doc_id FROM labels)",
     "release_index": L
     + f""", u AS (SELECT *, 'https://x.org/' || CASE WHEN unit_id % 4 = 0 THEN 'sport/' ELSE 'news/' END || (unit_id * 1000 + day(ts)) AS u, unit_id * 1000 + day(ts) AS no FROM g),
       i AS (SELECT u, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(CAST(ts AS DATE), (ts, event_id)) AS d, max(no) AS no, max(unit_id) AS unit FROM u WHERE kind = 'insert' GROUP BY u),

@@ -44,8 +44,9 @@ def band_auc(spark, sf):
 
 def lexicon_band_join(spark, sf):
     """Candidates by search terms, scored by their vectors."""
-    m = texts.matched(spark, sf).select(F.col("doc_id").alias("vec_id"), "source", "candidate")
-    rows = load(spark, sf, "embeddings").select("vec_id", "embedding").join(m, "vec_id")
+    e = load(spark, sf, "embeddings").select("vec_id", "embedding")
+    m = texts.matched(spark, sf, e.select(F.col("vec_id").alias("doc_id"))).select(F.col("doc_id").alias("vec_id"), "source", "candidate")
+    rows = e.join(m, "vec_id")
     return band.scores(rows, "source", "embedding", F.col("candidate")).select("vec_id", "source", "candidate", F.round("score", 6).alias("score"))
 
 

@@ -24,8 +24,10 @@ LISTS = list(dict.fromkeys(t.list for t in TERMS))
 BOILERPLATE = {"rights": r"all rights reserved|©", "contact": r"^(e-?mail|phone|tel)\b", "license": r"\blicen[cs]e\b"}
 
 
-def matched(spark, sf):
-    return lexicon.match(load(spark, sf, "documents").select("doc_id", "source", F.lower("text").alias("t")), "t", TERMS)
+def matched(spark, sf, of=None):
+    """Documents with their terms; only those whose ids are in ``of``, if it is given."""
+    d = load(spark, sf, "documents").select("doc_id", "source", F.lower("text").alias("t"))
+    return lexicon.match(d if of is None else d.join(of.select("doc_id"), "doc_id", "left_semi"), "t", TERMS)
 
 
 def lexicon_rate_by_source(spark, sf):
