@@ -23,12 +23,46 @@ def parts(term: str) -> list[str]:
     return found
 
 
-def _translated(pattern: str, boundary: str) -> str:
-    return re.sub(r"\\(.)", lambda m: {"w": WORD, "b": boundary, "W": OTHER}.get(m[1], m[0]), pattern)
+def _elements(pattern: str) -> list[tuple[str, str]]:
+    """(element, quantifier) of a pattern in order; an element is a character, an escape, a class or a group."""
+    return [(m[1], m[2] or "") for m in re.finditer(r"(\\.|\[(?:\\.|[^\]])*\]|\((?:\\.|[^()\\]|\([^()]*\))*\)|[^\\])((?:[*+?]|\{[^}]*\})[?+]?)?", pattern, re.S)]
+
+
+def _is_word(elements: list[tuple[str, str]], step: int) -> bool:
+    """What the elements match surely begins (step 1) or ends (step -1) with a word character."""
+    for element, quantifier in elements[::step]:
+        if element.startswith("("):
+            inner = re.sub(r"^\((\?:)?", "", element)[:-1]
+            sure = "(" not in inner and "\\" not in inner.replace("\\w", "") and all(_is_word(_elements(x), step) for x in inner.split("|"))
+        else:
+            sure = element == r"\w" or len(element) == 1 and (element.isalnum() or element == "_")
+        if not sure:
+            return False
+        if not quantifier.startswith(("*", "?", "{0", "{,")):
+            return True
+    return False
+
+
+def _translated(pattern: str, boundary: str | None) -> str:
+    """With ``boundary`` for \\b; by default the cheapest look-around that means the same there."""
+    out, elements = [], _elements(pattern)
+    plain = boundary is None and not any(e == "|" for e, _ in elements)
+    for i, (element, quantifier) in enumerate(elements):
+        if element == r"\b" and boundary is None:
+            if plain and _is_word(elements[i + 1 :], 1):
+                element = f"(?<!{WORD})"
+            elif plain and _is_word(elements[:i], -1):
+                element = f"(?!{WORD})"
+            else:
+                element = BOUNDARY
+            out.append(element + quantifier)
+        else:
+            out.append(re.sub(r"\\(.)", lambda m: {"w": WORD, "b": BOUNDARY if boundary is None else boundary, "W": OTHER}.get(m[1], m[0]), element, flags=re.S) + quantifier)
+    return "".join(out)
 
 
 def java(pattern: str) -> str:
-    return _translated(pattern, BOUNDARY)
+    return _translated(pattern, None)
 
 
 def re2(pattern: str) -> str:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import dialects
+from corpusloom.functions import text as tx
 
 
 @dataclass(frozen=True)
@@ -37,19 +38,43 @@ def version(terms: list[Term]) -> str:
     return "lex-" + hashlib.sha256("\n".join(f"{t.list}:{t.pattern}" for t in terms).encode()).hexdigest()[:10]
 
 
+#: Terms whose flags are bits of one number.
+PER_MASK = 60
+
+
 def match(df: DataFrame, text: str, terms: list[Term]) -> DataFrame:
     """df with hit_<list> (number of terms found), terms ("list: term" of those found, by list) and candidate (any
-    found). A null text has no hits."""
+    found). A null text has no hits. Each pattern is held against a text once: all else is made from bits."""
     lists = list(dict.fromkeys(t.list for t in terms))
     terms = sorted(terms, key=lambda t: lists.index(t.list))
-    flags = [f"_t{i}" for i in range(len(terms))]
-    df = df.withColumns({c: F.coalesce(t.column(F.col(text)), F.lit(False)) for c, t in zip(flags, terms)})
-    # joined and split, not filtered by a lambda, so that patterns are matched in generated code
-    joined = F.concat_ws("\x01", *[F.when(F.col(c), f"{t.list}: {t.pattern}") for c, t in zip(flags, terms)])
-    found = F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, "\x01"))
-    hits = {f"hit_{x}": sum((F.col(c).cast("bigint") for c, t in zip(flags, terms) if t.list == x), F.lit(0).cast("bigint")) for x in lists}
-    candidate = reduce(lambda p, q: p | q, map(F.col, flags), F.lit(False))
-    return df.withColumns(hits | {"terms": found, "candidate": candidate}).drop(*flags)
+    flag = lambda t, i: F.when(t.column(F.col(text)), F.lit(1 << i % PER_MASK)).otherwise(F.lit(0)).cast("bigint")
+    masks = {f"_m{k}": reduce(lambda a, b: a.bitwiseOR(b), [flag(t, i) for i, t in enumerate(terms) if i // PER_MASK == k], F.lit(0).cast("bigint")) for k in range(-(-len(terms) // PER_MASK) or 1)}
+    df = df.withColumns(masks)
+    bit = lambda i: F.col(f"_m{i // PER_MASK}").bitwiseAND(F.lit(1 << i % PER_MASK)) != 0
+    # joined and split, not filtered by a lambda, so that it is generated code
+    joined = F.concat_ws("\x01", *[F.when(bit(i), f"{t.list}: {t.pattern}") for i, t in enumerate(terms)])
+    found = F.when(reduce(lambda p, q: p & q, [F.col(m) == 0 for m in masks]), F.array().cast("array<string>")).otherwise(F.split(joined, "\x01"))
+    hits = {}
+    for x in lists:
+        own = [sum(1 << i % PER_MASK for i, t in enumerate(terms) if t.list == x and i // PER_MASK == k) for k in range(len(masks))]
+        hits[f"hit_{x}"] = sum((F.bit_count(F.col(f"_m{k}").bitwiseAND(F.lit(o))).cast("bigint") for k, o in enumerate(own) if o), F.lit(0).cast("bigint"))
+    candidate = reduce(lambda p, q: p | q, [F.col(m) != 0 for m in masks])
+    return df.withColumns(hits | {"terms": found, "candidate": candidate}).drop(*masks)
+
+
+def searchable(docs: DataFrame, lemmas: DataFrame | None = None, key: str = "event_id", into: str = "searched") -> DataFrame:
+    """Documents without error (key, title, lead, body) with the lower-case text that terms are looked for in: title, lead
+    and body, and after them the lemmas of the three (``lemmas``: key, lemmas_title, lemmas_lead, lemmas_body) where there
+    are any. A document keeps its row whether it has lemmas or not; of several lemma rows of a key the greatest counts."""
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    text = tx.searchable(blank("title"), blank("lead"), blank("body"))
+    rows = docs.where("error IS NULL") if "error" in docs.columns else docs
+    if lemmas is None:
+        return rows.withColumn(into, text)
+    names = [c for c in ("lemmas_title", "lemmas_lead", "lemmas_body") if c in lemmas.columns]
+    more = lemmas.groupBy(F.col(key).alias("_key")).agg(F.max(F.lower(F.concat_ws("\n", *names))).alias("_lemmas"))
+    joined = rows.join(more, F.col(key) == F.col("_key"), "left").withColumn(into, F.concat_ws("\n", text, F.nullif(F.col("_lemmas"), F.lit(""))))
+    return joined.drop("_key", "_lemmas")
 
 
 def report(matched: DataFrame, by: str, lists: list[str]) -> DataFrame:
@@ -58,9 +83,13 @@ def report(matched: DataFrame, by: str, lists: list[str]) -> DataFrame:
     return matched.rollup(by).agg(*counts)
 
 
-def per_term(matched: DataFrame) -> DataFrame:
-    """Documents of each term, most first."""
-    return matched.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("docs")).orderBy(F.desc("docs"), "term")
+def per_term(matched: DataFrame, terms: list[Term]) -> DataFrame:
+    """(term, docs) of the terms that documents have, most first: one row of counts, turned into a row a term. Nothing is
+    exploded, so no pattern stands in a filter before it, and the few rows are put in order by one task."""
+    names = [f"{t.list}: {t.pattern}" for t in terms]
+    counts = matched.agg(*[F.count_if(F.array_contains("terms", n)).alias(f"n{i}") for i, n in enumerate(names)])
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("term"), F.col(f"n{i}").alias("docs")) for i, n in enumerate(names)])).alias("x")
+    return counts.select(pairs).select("x.*").where("docs > 0").sortWithinPartitions(F.desc("docs"), "term")
 
 
 def only_through(matched: DataFrame, name: str) -> DataFrame:

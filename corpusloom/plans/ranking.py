@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import vectors
 from corpusloom.operators import band
 from corpusloom.plans import texts
-from corpusloom.session import load
+from corpusloom.session import load, work_folder
 
 
 def scored(spark, sf):
@@ -46,7 +46,9 @@ def lexicon_band_join(spark, sf):
     """Candidates by search terms, scored by their vectors."""
     e = load(spark, sf, "embeddings").select("vec_id", "embedding")
     m = texts.matched(spark, sf, e.select(F.col("vec_id").alias("doc_id"))).select(F.col("doc_id").alias("vec_id"), "source", "candidate")
-    rows = e.join(m, "vec_id")
+    # the centroid and the scores both read these rows, so terms are matched before, once
+    work_folder(spark)
+    rows = e.join(m, "vec_id").checkpoint()
     return band.scores(rows, "source", "embedding", F.col("candidate")).select("vec_id", "source", "candidate", F.round("score", 6).alias("score"))
 
 

@@ -26,7 +26,7 @@ BOILERPLATE = {"rights": r"all rights reserved|©", "contact": r"^(e-?mail|phone
 
 def matched(spark, sf, of=None):
     """Documents with their terms; only those whose ids are in ``of``, if it is given."""
-    d = load(spark, sf, "documents").select("doc_id", "source", F.lower("text").alias("t"))
+    d = load(spark, sf, "documents", spread=True).select("doc_id", "source", F.lower("text").alias("t"))
     return lexicon.match(d if of is None else d.join(of.select("doc_id"), "doc_id", "left_semi"), "t", TERMS)
 
 
@@ -44,7 +44,7 @@ def lexicon_report_rollup(spark, sf):
 
 
 def lexicon_per_term(spark, sf):
-    return lexicon.per_term(matched(spark, sf))
+    return lexicon.per_term(matched(spark, sf), TERMS)
 
 
 def lexicon_without_list(spark, sf):
@@ -52,7 +52,7 @@ def lexicon_without_list(spark, sf):
 
 
 def body_hash(spark, sf):
-    return load(spark, sf, "documents").select("doc_id", tx.body_hash(F.col("text")).alias("body_hash"))
+    return load(spark, sf, "documents", spread=True).select("doc_id", tx.body_hash(F.col("text")).alias("body_hash"))
 
 
 def duplicate_bodies(spark, sf):
@@ -60,16 +60,16 @@ def duplicate_bodies(spark, sf):
 
 
 def paragraphs(spark, sf):
-    rows = load(spark, sf, "documents").select("doc_id", F.explode(tx.paragraph_offsets(F.col("text"))).alias("o"))
+    rows = load(spark, sf, "documents", spread=True).select("doc_id", F.explode(tx.paragraph_offsets(F.col("text"))).alias("o"))
     return rows.select("doc_id", F.col("o")[0].cast("bigint").alias("begin_at"), F.col("o")[1].cast("bigint").alias("end_at"))
 
 
 def qa_metrics_by_source(spark, sf):
-    return quality.metrics(load(spark, sf, "documents"), "source", "text", BOILERPLATE)
+    return quality.metrics(load(spark, sf, "documents", spread=True), "source", "text", BOILERPLATE)
 
 
 def article_text(spark, sf):
-    d = load(spark, sf, "documents").withColumn("offsets", tx.paragraph_offsets(F.col("text")))
+    d = load(spark, sf, "documents", spread=True).withColumn("offsets", tx.paragraph_offsets(F.col("text")))
     text = tx.article(F.col("source"), F.lit("2024-11-01"), F.lit(None), tx.paragraphs(F.col("text"), F.col("offsets")))
     return d.select("doc_id", F.md5(text).alias("digest"), F.length(text).cast("bigint").alias("chars"))
 
@@ -115,7 +115,7 @@ def embed_requests(spark, sf):
 def kept_lines(spark, sf):
     """Documents without lines of few words, up to a line that begins with a licence's name."""
     text = tx.kept_lines(F.col("text"), [r"\w+( \w+){0,2}\.?"], [r"(Permission|Licensed|Copyright).*"])
-    return load(spark, sf, "documents").select("doc_id", F.length(text).cast("bigint").alias("chars"), F.md5(text).alias("digest"))
+    return load(spark, sf, "documents", spread=True).select("doc_id", F.length(text).cast("bigint").alias("chars"), F.md5(text).alias("digest"))
 
 
 QUERIES = {

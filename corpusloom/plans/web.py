@@ -58,7 +58,7 @@ def page_titles(spark, sf):
 
 
 def extract_pages(spark, sf):
-    r = pages.records(load(spark, sf, "pages"))
+    r = pages.records(load(spark, sf, "pages", spread=True))
     return r.select("page_id", "section", "script", "n_chars", "body_hash", F.size("para_offsets").alias("paragraphs"), "error")
 
 

@@ -38,9 +38,22 @@ def require_utc(spark: SparkSession) -> None:
         raise ValueError(f"dates are defined in UTC, but the session's zone is {zone}")
 
 
-def load(spark: SparkSession, folder: str, name: str):
-    """The table ``name`` of a folder of Parquet tables."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+#: Bytes of a table that is small enough to be dealt out anew before costly work.
+SMALL_TABLE = 64 << 20
+
+
+def load(spark: SparkSession, folder: str, name: str, spread: bool = False):
+    """The table ``name`` of a folder of Parquet tables. ``spread``: costly work follows, so a small table in fewer files
+    than there are cores is dealt out to all of them; its files may be single row groups, which one task would read. Larger
+    tables stay as they are."""
+    path = f"{folder}/{name}.parquet"
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if spread and len(df.inputFiles()) < cores:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength() < SMALL_TABLE:
+            df = df.repartition(cores)
+    return df
 
 
 def work_folder(spark: SparkSession) -> str:

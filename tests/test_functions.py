@@ -1,3 +1,5 @@
+import random
+import re
 from datetime import date, datetime, timezone
 
 import pytest
@@ -150,3 +152,13 @@ def test_vectors(spark):
 def test_windows(spark):
     rows = spark.sql("SELECT * FROM VALUES (timestamp'2024-10-31 23:59:59'), (timestamp'2024-11-01'), (timestamp'2025-04-30 23:59:59'), (timestamp'2025-05-01') AS t(a)")
     assert rows.where(dates.within(F.col("a"), date(2024, 11, 1), date(2025, 4, 30))).count() == 2
+
+
+@pytest.mark.parametrize("pattern", [r"\bfoo\w*\b", r"\b(un|ni)t (a|b)?\b", r"\w+\b", r"a\b|\bb", r"\b\W", r"x\b.\b", r"\b(a|\.b)", r"(ab|c)?d\b", r"\b\w*x", r"[ab]\bc?", r"a{0,2}\b", r"\b(?:15|16) \w+"])
+def test_boundaries_mean_what_they_mean_in_python(spark, pattern):
+    """Against Python's own \\b and \\w, over texts with letters, digits, marks and other scripts."""
+    rng = random.Random(pattern)
+    texts = ["".join(rng.choice("abcdfnutox15 .é_чß-") for _ in range(rng.randrange(12))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(F.col("t").rlike(dialects.java(pattern))).collect()]
+    assert got == [re.search(pattern, t) is not None for t in texts]
