@@ -32,14 +32,16 @@ def mail_date(a: pa.Array) -> pa.Array:
 
 
 def iso(text: Column) -> Column:
-    """ISO 8601 dates and times; without a zone in UTC; null if it is none."""
-    return F.try_to_timestamp(F.trim(text))
+    """ISO 8601 dates and times; without a zone in UTC; null if it is none. A time alone is none: Spark would put it on the
+    day of the run."""
+    t = F.trim(text)
+    return F.when(t.rlike("^[0-9]{4}"), F.try_to_timestamp(t))
 
 
 def zoned(text: Column) -> Column:
     """As iso(), but null without a zone."""
     t = F.trim(text)
-    return F.when(t.rlike(r"[T ]\d{2}:\d{2}.*(?:Z|[+-]\d{2}:?\d{2})$"), F.try_to_timestamp(t))
+    return F.when(t.rlike(r"[T ]\d{2}:\d{2}.*(?:Z|[+-]\d{2}:?\d{2})$"), iso(t))
 
 
 def meta(page: Column) -> Column:

@@ -46,6 +46,16 @@ def gone(log: DataFrame, unit: str = "unit_id", time: str = "ingest_time", tie:
     return deletes.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def objects(log: DataFrame, stored: DataFrame, sha: str = "content_sha256", content: str = "content") -> DataFrame:
+    """log with the stored object of each hash: ``content``, and ``state``: found, missing, or changed (what is stored
+    under the hash has another one; it is not returned). Objects are stored by hash, so copies are one object; of several
+    under a hash the smallest counts."""
+    one = stored.where(F.col(sha).isNotNull()).groupBy(F.col(sha).alias("_sha")).agg(F.min(content).alias("_content"))
+    rows = log.join(one, F.col(sha) == F.col("_sha"), "left")
+    whole = F.sha2(F.col("_content").cast("binary"), 256) == F.col(sha)
+    return rows.withColumn("state", F.when(F.col("_content").isNull(), "missing").when(whole, "found").otherwise("changed")).withColumn(content, F.when(F.col("state") == "found", F.col("_content"))).drop("_sha", "_content")
+
+
 def corrections(log: DataFrame, pages: DataFrame, new_time: Column, pass_id: str, moment) -> DataFrame:
     """New inserts for current ones whose page says another date than was recorded. ``pages`` has content_sha256 and
     what ``new_time`` reads; rows dated by their page are left alone."""

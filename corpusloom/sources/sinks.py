@@ -79,3 +79,17 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     """(path, bytes, sha256) of every file under the path, by path; the sums are made where the files are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).orderBy("path")
+
+
+def manifest(spark: SparkSession, path: str, name: str, made_at: str, notes: dict[str, str] | None = None) -> DataFrame:
+    """What a release holds, as one row, and written as JSON beside it (path + ".manifest"): name, time, rows and columns of
+    the table, its files with bytes and checksums, and notes (versions of rules, terms, models). An error if a text column
+    has slipped in. Files are summed where they are read; one holds less than 2 GB, as Spark's writer makes them."""
+    table = guarded(spark.read.parquet(path))
+    files = checksums(spark, path).where(F.col("path").rlike(r"/part-[^/]*$")).select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "sha256")
+    listed = files.agg(F.array_sort(F.collect_list(F.struct("file", "bytes", "sha256"))).alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+    columns = F.array(*[F.struct(F.lit(c).alias("name"), F.lit(t).alias("type")) for c, t in table.dtypes])
+    noted = F.create_map(*[F.lit(x) for kv in sorted((notes or {}).items()) for x in kv]) if notes else F.create_map().cast("map<string,string>")
+    row = listed.crossJoin(F.broadcast(table.agg(F.count("*").alias("rows")))).select(F.lit(name).alias("name"), F.lit(made_at).alias("made_at"), "rows", "bytes", columns.alias("columns"), "files", noted.alias("notes"))
+    row.coalesce(1).write.mode("overwrite").json(f"{path}.manifest")
+    return spark.read.schema(row.schema).json(f"{path}.manifest")

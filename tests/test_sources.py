@@ -132,6 +132,10 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)exist"):
         sinks.write_once(df, str(tmp_path / "r"))
     assert all(len(r.sha256) == 64 for r in sinks.checksums(spark, str(tmp_path / "r")).collect())
+    m = sinks.manifest(spark, str(tmp_path / "r"), "index", "2025-05-01T00:00:00Z", {"terms": "lex-1"}).first()
+    assert (m["name"], m["rows"], [tuple(c) for c in m["columns"]], m["notes"]) == ("index", 2, [("k", "string"), ("v", "int")], {"terms": "lex-1"})
+    assert {f["sha256"] for f in m["files"]} == {r.sha256 for r in sinks.checksums(spark, str(tmp_path / "r")).where("path LIKE '%/part-%'").collect()}
+    assert m["bytes"] == sum(f["bytes"] for f in m["files"])
     sinks.write_json(df, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 2
 
