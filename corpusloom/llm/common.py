@@ -12,12 +12,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.session import load
+
 #: Bytes of text that a task works on at once.
 SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The table; a small one in fewer files than there are cores is dealt out to all of them."""
+    return load(spark, sf_dir, name, spread=name in ("documents", "pages"))
 
 
 def shared_dir(spark: SparkSession) -> str:
