@@ -200,6 +200,6 @@ ORACLE_SQL = {
     "vector_sources": "SELECT vec_id, label, source FROM embeddings LEFT JOIN documents ON doc_id = vec_id",
     "raw_objects": """WITH s AS (SELECT sha256(html) AS h, min(CASE WHEN page_id % 7 = 0 THEN upper(html) ELSE html END) AS c FROM pages WHERE page_id % 5 <> 0 GROUP BY 1)
       SELECT page_id, CASE WHEN c IS NULL THEN 'missing' WHEN sha256(c) = h THEN 'found' ELSE 'changed' END AS state, CASE WHEN sha256(c) = h THEN length(c) END AS chars FROM pages LEFT JOIN s ON h = sha256(html)""",
-    "probe_outcomes": """WITH u AS (SELECT page_id, CASE WHEN page_id % 7 <> 0 AND page_id % 5 <> 0 AND page_id * 731 BETWEEN 10000 AND 99999999 THEN 'https://x.org/v/' || page_id * 731 || '/t.html' END AS url FROM pages)
+    "probe_outcomes": """WITH u AS (SELECT page_id, CASE WHEN page_id % 7 <> 0 AND page_id % 5 <> 0 AND page_id * 731 BETWEEN 10000 AND 99999999 AND NOT starts_with(CAST(page_id * 731 AS VARCHAR), '404') THEN 'https://x.org/v/' || page_id * 731 || '/t.html' END AS url FROM pages)
       SELECT page_id, url, CASE WHEN page_id % 11 = 0 THEN 'robots' WHEN url IS NULL THEN 'not_in_sections' WHEN page_id % 3 = 0 THEN 'known' ELSE 'new' END AS outcome FROM u""",
 }

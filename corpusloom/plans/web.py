@@ -94,7 +94,7 @@ ORACLE_SQL = {
     "nonnews_reason": O + "SELECT page_id, CASE WHEN host = 'blog.example.org' THEN 'blog' WHEN outlet_id = 'com' AND section = 'fr' THEN 'french' WHEN outlet_id = 'net' AND section = 'de' THEN 'german' END AS reason FROM o",
     "soft_404": "SELECT page_id, page_id * 731 >= 1000 AND page_id % 3 = 0 AS lost FROM pages",
     "article_ids": "SELECT page_id, CASE WHEN page_id % 2 = 0 AND page_id * 731 BETWEEN 10000 AND 99999999 THEN page_id * 731 END AS number FROM pages",
-    "page_titles": r"SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>', 1), '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages".replace('\\"', '"'),
+    "page_titles": r"SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>', 1), '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS title FROM pages".replace('\\"', '"'),
     "page_dates": "SELECT page_id, CASE WHEN page_id % 4 < 2 THEN strftime(DATE '2024-11-01' + CAST(page_id % 100 AS INT), '%Y-%m-%d') || CASE WHEN page_id % 4 = 0 THEN ' 09:30' ELSE ' 10:30' END END AS published FROM pages",
     "json_attrs": "SELECT event_type, count(props->>'k') AS n, CAST(sum(CAST(props->>'k' AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY event_type",
 }
