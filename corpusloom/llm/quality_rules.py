@@ -151,3 +151,11 @@ def score(df: DataFrame, ensemble: Ensemble, text: str = "text", into: str = "qu
     stats = unused(f"{into}_stats", df)
     needed = {name for r in ensemble.rules for name, _, _ in r.conditions}
     return statistics(df, text, stats, needed).withColumn(into, ensemble.score(stats)).drop(stats)
+
+
+def at_least(df: DataFrame, ensemble: Ensemble, least: float, text: str = "text") -> DataFrame:
+    """The rows of df that score ``least`` or more. A plain filter would be pushed below the statistics and work them out
+    anew for each condition of each rule; no filter passes the one-element array, so a row's are worked out once."""
+    found, held = (unused(x, df) for x in ("quality_score", "quality_held"))
+    scored = score(df, ensemble, text, found).select(*df.columns, F.explode(F.array(found)).alias(held))
+    return scored.where(F.col(held) >= least).select(df.columns)

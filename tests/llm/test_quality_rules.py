@@ -152,3 +152,18 @@ def test_repeated_rows_ties_and_clashing_names(spark):
     out = qr.score(docs, ensemble)
     assert out.columns == [*docs.columns, "quality_score"] and out.count() == 80
     assert out.groupBy("text").agg(F.count_distinct("quality_score").alias("n")).where("n > 1").count() == 0
+
+
+def test_at_least_keeps_what_a_filter_keeps_and_computes_once(spark):
+    ensemble = qr.Ensemble(-0.2, (qr.Rule((("words", False, 1.5), ("digits", True, 0.2)), 0.9), qr.Rule((("words", False, 2.0),), -0.4), qr.Rule((("digits", True, 0.1),), 0.1)))
+    rows = [(1, "a b c d e f g", 0), (1, "a b c d e f g", 0), (2, None, 1), (3, "", 1), (4, "1 2 3 4 5 6", 2), (None, "one two three four", 3), (5, "x" * 50_000, 4)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, quality_score int")
+    for least in (0.4, 0.5, 0.6):
+        scored = qr.score(docs, ensemble, into="s")
+        want = sorted(map(str, scored.where(F.col("s") >= least).select(docs.columns).collect()))
+        kept = qr.at_least(docs, ensemble, least)
+        assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == want
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in "".join(x for x in plan.splitlines() if "Filter" in x and "Generate" not in x) and plan.count("[^0-9]+") == 1
+    assert qr.at_least(docs, qr.Ensemble(0.0, ()), 0.5).count() == len(rows)
+    assert qr.at_least(docs.where("doc_id < 0"), ensemble, 0.5).count() == 0
