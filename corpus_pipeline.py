@@ -22,7 +22,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     known = table(spark, sf_dir, "labels").where(~held_out_of(F.col("doc_id"), 3, 1))
     sample = quality_rules.labelled_sample(docs.select("doc_id", "text"), known, "doc_id", "quality")
     ensemble = quality_rules.fit(sample, "text", "label")
-    return quality_rules.score(docs, ensemble).where("quality_score >= 0.5").select(docs.columns)
+    return quality_rules.at_least(docs, ensemble, 0.5)
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
