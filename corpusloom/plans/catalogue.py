@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import columns, gold, history, ranking, texts, web
+from corpusloom.plans import columns, drivers, gold, history, ranking, texts, web
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (texts, ranking, history, gold, web, columns):
+for module in (texts, ranking, history, gold, web, columns, drivers):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
