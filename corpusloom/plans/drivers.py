@@ -55,7 +55,7 @@ def coverage_facts(spark, sf):
 
 def listing_days(spark, sf):
     """Items of whole days. An event is a listing page of one of three sections; some failed, some days lack their last."""
-    e, at = load(spark, sf, "events"), F.col("event_id")
+    e, at = load(spark, sf, "events", spread=True), F.col("event_id")
     section = F.when(F.floor(at / 17) % 3 == 0, "a").when(F.floor(at / 17) % 3 == 1, "b")
     day = F.expr("date_add(DATE'2024-01-02', cast(event_id % 17 AS int))")
     page = (F.floor(at / 51) + 1).cast("int")
@@ -73,7 +73,7 @@ def listing_days(spark, sf):
 
 def section_stories(spark, sf):
     """Stories of section pages, dated by the number in their URL; a link behind the list's end doesn't count."""
-    number = (SHIFT + F.col("doc_id") * 37 % 12007).cast("string")
+    number = (SHIFT + F.col("doc_id") * 37 % 120_011).cast("string")
     story = lambda dress, n: F.concat(F.lit(f'<a class="{dress} x" href="/news/'), n, F.lit('/title.html">t</a>'))
     html = F.concat(F.lit('<div id="storyBrowser">'), story("largeThumb", number), story("smallThumb", F.lit("101000")), F.lit('<nav aria-label="Pagination">'), story("largeThumb", F.lit("102000")))
     fetched = load(spark, sf, "documents").select(html.alias("html"))
@@ -104,7 +104,7 @@ def parts_replaced(spark, sf):
 QUERIES = {f.__name__: f for f in (corrections, coverage_facts, listing_days, section_stories, stream_current_units, parts_replaced)}
 
 PAGES_LOG = "WITH g AS (SELECT event_id, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'insert' END AS kind, event_type, ts, user_id % 9 AS outlet_id, CAST(ts AS DATE) AS day, 'https://x.org/news/' || (1000000 + user_id * 1000 + dayofyear(ts)) AS u, ts - to_days(CAST(event_id % 4 AS INT)) AS valid FROM events) "
-NUMBERED = history.ORACLE_SQL["day_of_number"].replace("SELECT doc_id, doc_id * 37 % 12007 AS x FROM documents", "SELECT DISTINCT doc_id * 37 % 12007 AS doc_id, doc_id * 37 % 12007 AS x FROM documents")
+NUMBERED = history.ORACLE_SQL["day_of_number"].replace("SELECT doc_id, doc_id * 37 % 12007 AS x FROM documents", "SELECT DISTINCT doc_id * 37 % 120011 AS doc_id, doc_id * 37 % 120011 AS x FROM documents")
 ORACLE_SQL = {
     "corrections": PAGES_LOG
     + """, c AS (SELECT * FROM g WHERE kind = 'insert' QUALIFY row_number() OVER (PARTITION BY u ORDER BY ts DESC, CAST(event_id AS VARCHAR) DESC) = 1),
