@@ -49,17 +49,43 @@ def replace(df: DataFrame, root: str) -> str:
     return path
 
 
+def _whole(spark: SparkSession, folder: str, prefix: str) -> list[str]:
+    """Names of the folders in a folder that begin so and are written to the end, in order."""
+    jvm, p, fs = _files(spark, folder)
+    found = [s.getPath() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(x.getName() for x in found if x.getName().startswith(prefix) and fs.exists(jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS")))
+
+
 def exists(spark: SparkSession, root: str) -> bool:
     """There is a whole version at ``root``."""
-    jvm, p, fs = _files(spark, root)
-    return fs.exists(p) and any(fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")) for s in fs.listStatus(p))
+    return bool(_whole(spark, root, "v-"))
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:
     """The newest whole version at ``root``."""
-    jvm, p, fs = _files(spark, root)
-    whole = [s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().startswith("v-") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return spark.read.parquet(f"{root}/{max(whole)}")
+    return spark.read.parquet(f"{root}/{_whole(spark, root, 'v-')[-1]}")
+
+
+def _since(spark: SparkSession, root: str) -> str:
+    """Where parts lie that came after the newest version; a new version begins with none."""
+    versions = _whole(spark, root, "v-")
+    return f"{root}/after-{versions[-1] if versions else 'nothing'}"
+
+
+def add_part(df: DataFrame, root: str, number: int) -> None:
+    """df as the part of that number beside the newest version; one written before under the number is replaced."""
+    df.write.mode("overwrite").option("compression", "zstd").parquet(f"{_since(df.sparkSession, root)}/part-{number:012d}")
+
+
+def parts(spark: SparkSession, root: str) -> int:
+    return len(_whole(spark, _since(spark, root), "part-"))
+
+
+def with_parts(spark: SparkSession, root: str) -> DataFrame:
+    """Rows of the newest version and of the parts since."""
+    since = _since(spark, root)
+    paths = [f"{root}/{v}" for v in _whole(spark, root, "v-")[-1:]] + [f"{since}/{x}" for x in _whole(spark, since, "part-")]
+    return spark.read.parquet(*paths)
 
 
 def guarded(df: DataFrame) -> DataFrame:

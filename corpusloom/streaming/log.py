@@ -35,15 +35,27 @@ def append_once(df: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     return df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def keep_current(log: DataFrame, table: str, checkpoint: str, unit: str = "unit_id", time: str = "ingest_time", tie: str = "event_id") -> StreamingQuery:
-    """The latest record of each unit, kept as versions of a table (sinks.current reads it). Every batch is folded into
-    the version before it; folding one in twice changes nothing, so a batch may be repeated."""
-
-    def fold(batch: DataFrame, _: int) -> None:
+def keep_current(log: DataFrame, table: str, checkpoint: str, unit: str = "unit_id", time: str = "ingest_time", tie: str = "event_id", every: int = 1) -> StreamingQuery:
+    """The latest record of each unit, kept as versions of a table. A batch is written as a part beside the newest version;
+    the ``every``-th part is folded with those before it into the next version. So a large table is rewritten once in
+    ``every`` batches, and a batch else costs what it holds. With 1 each batch makes a version, and sinks.current reads
+    all; with more, ``kept`` does. Taking a batch in twice changes nothing, so it may be repeated."""
+    order = [F.col(time), F.col(tie)]
+
+    def fold(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch
-        if sinks.exists(spark, table):
-            rows = sinks.current(spark, table).unionByName(batch)
-        sinks.replace(lg.latest(rows, [unit], [F.col(time), F.col(tie)]), table)
+        if every > 1:
+            sinks.add_part(lg.latest(batch, [unit], order), table, number)
+            if sinks.parts(spark, table) < every:
+                return
+            rows = sinks.with_parts(spark, table)
+        else:
+            rows = sinks.current(spark, table).unionByName(batch) if sinks.exists(spark, table) else batch
+        sinks.replace(lg.latest(rows, [unit], order), table)
 
     return log.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def kept(spark: SparkSession, table: str, unit: str = "unit_id", time: str = "ingest_time", tie: str = "event_id") -> DataFrame:
+    """What keep_current keeps: the latest record of each unit in the newest version and the parts since."""
+    return lg.latest(sinks.with_parts(spark, table), [unit], [F.col(time), F.col(tie)])

@@ -154,6 +154,28 @@ def test_stream_keeps_the_latest(spark, tmp_path):
     assert arrive([("a", 4, day(2)), ("b", 5, day(1)), ("c", 6, day(1))]) == [("a", 2), ("b", 5), ("c", 6)]
 
 
+def test_stream_folds_several_batches_at_once(spark, tmp_path):
+    schema = "unit_id string, event_id int, ingest_time timestamp"
+    source, table, mark = (str(tmp_path / x) for x in ("in", "table", "mark"))
+    seen, versions = {}, []
+    for n in range(1, 8):
+        rows = [(f"u{(n * k) % 5}", 10 * n + k, datetime(2026, 1, 1 + (7 * n + k) % 9)) for k in range(4)]
+        for unit, event, at in rows:
+            seen[unit] = max(seen.get(unit, (at, event)), (at, event))
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+        stream.keep_current(stream.read(spark, source, schema), table, mark, every=3).awaitTermination()
+        assert {r.unit_id: (r.ingest_time, r.event_id) for r in stream.kept(spark, table).collect()} == seen
+        versions.append((sinks.exists(spark, table), sinks.parts(spark, table)))
+    assert versions == [(False, 1), (False, 2), (True, 0), (True, 1), (True, 2), (True, 0), (True, 1)]
+    assert len([x for x in (tmp_path / "table").iterdir() if x.name.startswith("v-")]) == 2
+    # a part that is written again under its number counts once
+    again = spark.createDataFrame([("u0", 1, datetime(2025, 1, 1))], schema)
+    for _ in range(2):
+        sinks.add_part(again, table, 99)
+    assert sinks.parts(spark, table) == 2 and sinks.with_parts(spark, table).where("event_id = 1").count() == 1
+    assert stream.kept(spark, table).count() == len(seen)
+
+
 def test_stream_sees_each_url_once(spark, tmp_path):
     schema = "url string, ingest_time timestamp"
     spark.createDataFrame([("u", datetime(2026, 1, 1)), ("u", datetime(2026, 1, 1, 5)), ("v", datetime(2026, 1, 1))], schema).write.parquet(str(tmp_path / "in"))
