@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, html_region, jpeg, langid_crf, quality_rules, quote_threads, sentence_pieces, simhash, token_store, url_filter
+from corpusloom.llm import decontaminate, filter_audit, html_region, jpeg, langid_crf, quality_rules, quote_threads, sentence_pieces, simhash, token_store, url_filter
 from corpusloom.llm.common import held_out_of, table
 
 
@@ -70,6 +70,12 @@ def op10(spark: SparkSession, pages: DataFrame) -> DataFrame:
     return url_filter.judge(pages.select("page_id", "url")).select("page_id", "judged.*")
 
 
+def op11(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """What five filters take from each other, by language and order."""
+    flags = filter_audit.document_flags(docs, labels)
+    return filter_audit.audit(flags, list("ABCDE"), "part", ["quality", "toxic"]).withColumnsRenamed({"lost_quality": "good_lost", "lost_toxic": "toxic_lost"})
+
+
 QUERIES = {
     "op1_langid_crf": lambda spark, sf_dir: op1(spark, table(spark, sf_dir, "documents")),
     "op2_quality_rules": lambda spark, sf_dir: op2(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
@@ -81,6 +87,7 @@ QUERIES = {
     "op8_token_store": lambda spark, sf_dir: op8(spark, table(spark, sf_dir, "documents")),
     "op9_html_region": lambda spark, sf_dir: op9(spark, table(spark, sf_dir, "pages")),
     "op10_url_filter": lambda spark, sf_dir: op10(spark, table(spark, sf_dir, "pages")),
+    "op11_filter_audit": lambda spark, sf_dir: op11(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_url_filter": url_filter.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op10_url_filter": url_filter.oracle_sql(), "op11_filter_audit": filter_audit.ORACLE_SQL}
