@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, filter_audit, html_region, jpeg, langid_crf, quality_rules, quote_threads, sentence_pieces, simhash, source_mix, token_store, url_filter
+from corpusloom.llm import decontaminate, filter_audit, html_region, jpeg, langid_crf, merkle, quality_rules, quote_threads, sentence_pieces, simhash, source_mix, token_store, url_filter
 from corpusloom.llm.common import held_out_of, table
 
 
@@ -81,6 +81,11 @@ def op12(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return source_mix.taken(source_mix.prepare(docs.select("doc_id", "text", "source")))
 
 
+def op13(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Every document's place in the manifest, proven from what it is after tampering."""
+    return merkle.prove(merkle.document_leaves(docs))
+
+
 QUERIES = {
     "op1_langid_crf": lambda spark, sf_dir: op1(spark, table(spark, sf_dir, "documents")),
     "op2_quality_rules": lambda spark, sf_dir: op2(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
@@ -94,6 +99,7 @@ QUERIES = {
     "op10_url_filter": lambda spark, sf_dir: op10(spark, table(spark, sf_dir, "pages")),
     "op11_filter_audit": lambda spark, sf_dir: op11(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op12_source_mix": lambda spark, sf_dir: op12(spark, table(spark, sf_dir, "documents")),
+    "op13_merkle": lambda spark, sf_dir: op13(spark, table(spark, sf_dir, "documents")),
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_url_filter": url_filter.oracle_sql(), "op11_filter_audit": filter_audit.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op10_url_filter": url_filter.oracle_sql(), "op11_filter_audit": filter_audit.ORACLE_SQL, "op13_merkle": merkle.oracle_sql()}
