@@ -1,4 +1,6 @@
 import random
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -213,3 +215,118 @@ def test_edited_items_in_documents(spark, monkeypatch):
     assert out.columns == ["doc_id", "text", "_row", "hits"] and out.count() == len(rows)
     in_blocks = {(r["doc_id"], h["item_id"]) for r in out.collect() for h in r["hits"]}
     assert len(want - in_blocks) <= 1
+
+
+@pytest.mark.parametrize("known", [False, True])
+@pytest.mark.parametrize("n", [5, 7, 8, 12, 29, 37, 40, 45, 59, 80, 195])
+def test_recall_of_an_index_of_one_length(n, known):
+    """300 items of one length, each planted with as many edits as are allowed."""
+    rng = random.Random(n)
+    words = [f"v{i}" for i in range(3000)]
+    items = [rng.choices(words, k=n) for _ in range(300)]
+    index = dc.Index([(i, " ".join(w)) for i, w in enumerate(items)])
+    texts = []
+    for k, w in enumerate(items):
+        body = edited_with_unknown(rng, w, n // 5, f"u{k}x")
+        body = [rng.choice(words) if known and x[0] == "u" else x for x in body]
+        texts.append(" ".join(rng.choices(words, k=30) + body + rng.choices(words, k=30)))
+    assert sum(any(h[0] == i for h in hits) for i, hits in enumerate(index.hits(texts))) >= 297
+
+
+def test_an_error_tells_of_a_recall_that_is_not_reached():
+    assert 1 < dc.walks_of(40, 0.2, 0.999, 6, 2, 11) <= dc.MOST_WALKS
+    with pytest.raises(ValueError, match="40 words"):
+        dc.walks_of(40, 0.95, 0.999, 6, 2, 11)
+
+
+def test_no_step_is_sampled_twice_in_a_band():
+    places = np.random.default_rng(1).random((5, 6, 3))
+    steps = dc.steps_sampled(places, np.array([3, 4, 90]))
+    for k, n in enumerate((3, 4, 90)):
+        assert (np.diff(np.sort(steps[..., k], axis=2)) > 0).all() and steps[..., k].min() >= 0 and steps[..., k].max() < n
+
+
+def test_edit_search_of_many_items_equals_the_plain_way():
+    rng = random.Random(6)
+    for _ in range(200):
+        items = [np.array(rng.choices(range(1, 5), k=rng.randint(1, 70))) for _ in range(rng.randint(1, 9))]
+        region = np.array(rng.choices(range(5), k=rng.randint(0, 120)), dtype=np.int64)
+        least, end = dc.edit_search(items, region)
+        for i, x in enumerate(items):
+            assert (least[i], end[i]) == distance(x.tolist(), region.tolist())
+
+
+def test_long_stretches_are_added_up_in_parts(monkeypatch):
+    monkeypatch.setattr(dc, "MARKS", 64)
+    rng = random.Random(7)
+    items, region = [np.array(rng.choices(range(1, 4), k=30)) for _ in range(5)], np.array(rng.choices(range(4), k=1000))
+    want = dc.edit_search(items, region)
+    monkeypatch.setattr(dc, "LONG", 10)
+    assert all((a == b).all() for a, b in zip(want, dc.edit_search(items, region)))
+
+
+def test_merged_intervals_against_brute_force():
+    rng = random.Random(8)
+    for _ in range(200):
+        rows = [(rng.randrange(3), a := rng.randrange(60), a + rng.randrange(8)) for _ in range(rng.randint(0, 20))]
+        gap = rng.randrange(4)
+        got = set(zip(*(x.tolist() for x in dc.merged(*np.array(rows, np.int64).reshape(-1, 3).T, gap))))
+        want = set()
+        for g in range(3):
+            for _, a, b in sorted(r for r in rows if r[0] == g):
+                last = max((x for x in want if x[0] == g), default=None)
+                if last and a <= last[2] + gap:
+                    want.remove(last)
+                    a, b = last[1], max(b, last[2])
+                want.add((g, a, b))
+        assert got == want
+
+
+def peak_of(run):
+    tracemalloc.start()
+    began = time.perf_counter()
+    out = run()
+    took, peak = time.perf_counter() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return out, took, peak / 1e6
+
+
+def test_items_that_are_nearly_equal_in_a_text_of_copies():
+    rng = random.Random(9)
+    base = passage(rng, 100)
+    items = []
+    for i in range(300):
+        words = list(base)
+        words[rng.randrange(100)] = f"own{i}"
+        items.append((i, " ".join(words)))
+    index = dc.Index(items)
+    [hits], took, peak = peak_of(lambda: index.hits([" ".join(base * 250)]))
+    assert [h[:2] for h in hits] == [(i, 1) for i in range(300)] and took < 30 and peak < 300
+
+
+def test_items_with_a_common_opening():
+    rng = random.Random(10)
+    words = [f"v{i}" for i in range(5000)]
+    opening = rng.choices(words, k=13)
+    items = [opening + rng.choices(words, k=rng.randint(40, 60)) for _ in range(1500)]
+    index = dc.Index([(i, " ".join(w)) for i, w in enumerate(items)])
+    text = [w for _ in range(25) for w in opening + rng.choices(words, k=75)]
+    (without, one), took, peak = peak_of(lambda: index.hits([" ".join(text), " ".join(text + items[77] + text)]))
+    assert without == [] and [h[:2] for h in one] == [(77, 0)] and took < 30 and peak < 300
+
+
+def test_many_long_items():
+    rng = random.Random(16)
+    items = [(i, " ".join(passage(rng, 5000))) for i in range(60)]
+    index, took, peak = peak_of(lambda: dc.Index(items))
+    assert took < 60 and peak < 500
+    edited_text = " ".join(edited_with_unknown(rng, items[9][1].split(), 1000, "q"))
+    assert [h[0] for h in index.hits([f"a b {edited_text} c d"])[0]] == [9]
+
+
+def test_walks_of_many_lengths_are_tried_by_tasks(spark, monkeypatch):
+    rng = random.Random(17)
+    rows = spark.createDataFrame([(i, " ".join(passage(rng, n))) for i, n in enumerate((5, 9, 30, 30, 50))] + [(9, ""), (10, None)], "i long, t string").where("t IS NOT NULL")
+    here = dc.all_walks(rows)
+    monkeypatch.setattr(dc, "TRIED_HERE", 0)
+    assert dc.all_walks(rows) == here == {n: dc.walks_of(n, 0.2, 0.999, 6, 2, 11) for n in (5, 9, 30, 50)}
