@@ -94,3 +94,63 @@ def test_long_pages_are_learned_from_within_the_bound(spark, monkeypatch):
     assert seen[-1] == first and len(first) == 2
     h.fit(df, bound_chars=1)
     assert len(seen[-1]) == 1
+
+
+PARAGRAPHS = [" ".join(f"{w}{i}" for i in range(40)) for w in ("first", "second", "third")]
+WHOLE = " ".join(PARAGRAPHS)
+
+
+def in_article(*blocks):
+    return f"<html><body><nav><a href=/>home</a></nav><article>{''.join(blocks)}</article><footer>the end</footer></body></html>"
+
+
+@pytest.fixture(scope="module")
+def learned():
+    rng = random.Random(1)
+    return h.train([sample_page(rng, rng.randint(1, 6)) for _ in range(60)])
+
+
+@pytest.mark.parametrize("name", ["share-price", "social-history", "banner", "related", "menu-planning", "x", "adjust", "comment-free", "footer"])
+def test_paragraphs_whose_class_only_looks_like_an_aside(learned, name):
+    first, second, third = PARAGRAPHS
+    for page in (in_article(f"<p>{first}</p><p class='{name}'>{second}</p><p>{third}</p>"), in_article(f"<p>{first}<p class={name}>{second}<p>{third}")):
+        assert h.extract(page, learned) == WHOLE
+
+
+@pytest.mark.parametrize("name", ["ad", "ads", "advert-box", "reader-comments", "comment_list", "cookie-notice", "newsletter-signup", "banner", "related-posts", "share-buttons", "sidebar-left", "wide ad"])
+def test_containers_that_are_asides(learned, name):
+    first, second, third = PARAGRAPHS
+    page = in_article(f"<p>{first}</p><p>{second}</p><div class='{name}'><p>Buy <b>this</b><ul><li>one<li>two</ul></div><p>{third}</p>")
+    assert h.extract(page, learned) == WHOLE
+    assert h.extract(page, learned, h.Asides(frozenset(), frozenset())) != WHOLE
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        "<p>{0}<p class=ad>Buy<p>{1}<p>{2}",
+        "<p>{0}<p class=ad>Buy <b>now</b><h2>{1}</h2>{2}",
+        "<p>{0}<p class=ad>Buy<ul><li>{1}</ul><p>{2}",
+        "<div><p>{0}<p class=ad>Buy</div>{1}<p>{2}",
+        "<ul><li>{0}<li class=ad>Buy<li>{1}</ul><p>{2}",
+        "<ul><li>{0}<li class=ad>Buy<ol><li>now<li>here</ol> more<li>{1}</ul><p>{2}",
+        "<ul><li>{0}<li class=ad>Buy</ul><p>{1}</p>{2}",
+        "<dl><dt class=ad>Buy<dd>{0}<dt>{1}<dd class=ad>it<dt>{2}</dl>",
+        "<table><tr><td>{0}<td class=ad>Buy<td>{1}<tr class=ad><td>Buy<td>now<tr><td>{2}</table>",
+        "<table><tbody class=ad><tr><td>Buy<tbody><tr><td>{0}<td>{1}</table>{2}",
+        "<table><tr><td class=ad><table><tr><td>Buy<tr><td>now</table>it<td>{0}</table>{1}<p>{2}",
+        "<p>{0}<span class=ad>Buy</span> {1}<p>{2}",
+        "<p>{0}</b></i><aside>Buy<p>now<div>it</div></aside>{1}</section><p>{2}",
+    ],
+)
+def test_end_tags_that_are_left_out(body):
+    page = h.read(in_article(body.format(*PARAGRAPHS)))
+    assert h.text_of(page, h.labelled(page)) == WHOLE
+
+
+def test_the_test_pages_without_the_end_tags_that_may_be_left_out(spark):
+    sf = "/root/testdata/sf0.01"
+    pages = [r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    weights = h.train(pages[:200])
+    for p in pages:
+        assert h.extract(re.sub("</(p|li)>", "", p), weights) == h.extract(p, weights)
