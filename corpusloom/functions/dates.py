@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.functions.text import attribute, tags
+
 #: What pages call their date of publication, in the order in which it is believed.
 LINKED_DATA = "datePublished"
 META_NAMES = ("article:published_time", "datePublished")
@@ -46,10 +48,7 @@ def zoned(text: Column) -> Column:
 
 def meta(page: Column) -> Column:
     """array<struct<name, content>> of a page's meta elements, whatever the order of their attributes."""
-    attribute = lambda tag, names: F.regexp_extract(tag, rf"""(?i)\s(?:{names})\s*=\s*("[^"]*"|'[^']*')""", 1)
-    bare = lambda quoted: F.substring(quoted, F.lit(2), F.greatest(F.length(quoted) - 2, F.lit(0)))
-    tags = F.regexp_extract_all(page, F.lit(r"(?i)<meta\b[^>]*>"), F.lit(0))
-    return F.transform(tags, lambda x: F.struct(bare(attribute(x, "property|itemprop|name")).alias("name"), bare(attribute(x, "content")).alias("content")))
+    return F.transform(tags(page, "meta"), lambda x: F.struct(attribute(x, "property|itemprop|name").alias("name"), attribute(x, "content").alias("content")))
 
 
 def _first(values: Column) -> Column:

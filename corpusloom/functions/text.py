@@ -172,3 +172,20 @@ def unescaped(a: pa.Array) -> pa.Array:
 
 def without_tags(text: Column) -> Column:
     return F.regexp_replace(text, "<[^>]+>", " ")
+
+
+def tags(page: Column, name: str) -> Column:
+    """The start tags of a name."""
+    return F.regexp_extract_all(page, F.lit(rf"(?i)<{name}\b[^>]*>"), F.lit(0))
+
+
+def attribute(tag: Column, names: str) -> Column:
+    """The value of the first quoted attribute of a start tag that has one of the names; empty if there is none."""
+    quoted = F.regexp_extract(tag, rf"""(?i)\s(?:{names})\s*=\s*("[^"]*"|'[^']*')""", 1)
+    return F.substring(quoted, F.lit(2), F.greatest(F.length(quoted) - 2, F.lit(0)))
+
+
+def links(page: Column, relation: str) -> Column:
+    """The addresses of a page's link elements of a relation, in order, whatever the order of their attributes."""
+    wanted = F.filter(tags(page, "link"), lambda x: F.array_contains(F.split(F.lower(attribute(x, "rel")), r"\s+"), relation))
+    return F.filter(F.transform(wanted, lambda x: attribute(x, "href")), lambda x: x != "")

@@ -2,35 +2,44 @@
 
 from __future__ import annotations
 
-from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
-
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Beginnings of query parameters that only track the reader.
 TRACKING = ("utm_", "fbclid", "gclid", "mc_cid", "mc_eid")
 #: First path segments that name a script and not a section.
 SCRIPTS = ("lat", "ci", "sr", "scc")
-SCRIPT_PREFIX = r"(?i)^(/+(lat|ci|sr|scc))+(?=/|$)"
-ARTICLE_NUMBER = r"/(\d{4,})(?=/|$|-|\.)"
 
 
-def _canonical(url: str) -> str:
-    try:
-        p = urlsplit(url.strip())
-    except ValueError:
-        return url.strip()
-    query = urlencode([(k, v) for k, v in parse_qsl(p.query, keep_blank_values=True) if not k.lower().startswith(TRACKING)])
-    return urlunsplit((p.scheme.lower(), p.netloc.lower(), p.path, query, ""))
+def decoded(text: Column) -> Column:
+    """Text of a query part: + is a blank, % and two hex digits are a byte; any other % stands for itself."""
+    return F.url_decode(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
+def encoded(text: Column) -> Column:
+    """Text as a query part; letters, digits and _ . - ~ stay as they are."""
+    return F.replace(F.replace(F.url_encode(text), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
+
 
+def _parameter(pair: Column) -> Column:
+    """name and value of name=value; without = the value is empty."""
+    at = F.instr(pair, "=")
+    name, value = F.when(at > 0, F.left(pair, at - 1)).otherwise(pair), F.when(at > 0, F.substring(pair, at + 1, F.length(pair))).otherwise("")
+    return F.struct(decoded(name).alias("name"), decoded(value).alias("value"))
 
-@F.arrow_udf(T.StringType())
-def canonical(url: pa.Array) -> pa.Array:
+
+def canonical(url: Column) -> Column:
     """One form for a page's URLs: scheme and host in lower case, no fragment, no tracking parameters, query encoded
     anew. The path keeps its case."""
-    return pa.array([None if u is None else _canonical(u) for u in url.to_pylist()], pa.string())
+    whole = F.regexp_replace(url, r"^\s+|\s+$", "")
+    address = F.get(F.split(whole, "#", 2), F.lit(0))
+    halves = F.split(address, r"\?", 2)
+    before, query = F.get(halves, F.lit(0)), F.coalesce(F.get(halves, F.lit(1)), F.lit(""))
+    site = F.regexp_extract(before, "^([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/]*)?", 0)
+    parameters = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), _parameter)
+    tracks = lambda name: F.exists(F.array(*map(F.lit, TRACKING)), lambda t: F.startswith(F.lower(name), t))
+    kept = F.transform(F.filter(parameters, lambda x: ~tracks(x["name"])), lambda x: F.concat(encoded(x["name"]), F.lit("="), encoded(x["value"])))
+    return F.concat(F.lower(site), F.substring(before, F.length(site) + 1, F.length(before)), F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
 
 
 def host(url: Column) -> Column:
@@ -42,20 +51,28 @@ def path(url: Column) -> Column:
     return F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
 
 
+def segments(url: Column) -> Column:
+    """The path's parts between slashes, without empty ones."""
+    return F.filter(F.split(path(url), "/"), lambda x: x != "")
+
+
 def section(url: Column) -> Column:
-    """First segment of the path after script prefixes, in lower case; empty if there is none."""
-    rest = F.regexp_replace(path(url), SCRIPT_PREFIX, "")
-    return F.coalesce(F.lower(F.get(F.filter(F.split(rest, "/"), lambda x: x != ""), F.lit(0))), F.lit(""))
+    """First segment of the path that names no script, in lower case; empty if there is none."""
+    named = F.filter(F.transform(segments(url), F.lower), lambda x: ~x.isin(*SCRIPTS))
+    return F.coalesce(F.get(named, F.lit(0)), F.lit(""))
 
 
 def article_number(url: Column) -> Column:
-    """Number of five to eight digits in the path; null if there is none."""
-    return F.try_to_number(F.nullif(F.regexp_extract(path(url), r"/(\d{5,8})(?:/|$)", 1), F.lit("")), F.lit("99999999")).cast("bigint")
+    """The first segment of the path that is a number of five to eight digits; null if there is none."""
+    digits = F.filter(segments(url), lambda x: F.length(x).between(5, 8) & (F.translate(x, "0123456789", "") == ""))
+    return F.get(digits, F.lit(0)).cast("bigint")
 
 
 def numbers(url: Column) -> Column:
-    """All article numbers in the path."""
-    return F.regexp_extract_all(path(url), F.lit(ARTICLE_NUMBER), F.lit(1))
+    """All article numbers in the path: four digits or more at the head of a segment, with nothing, a dash or a point
+    behind them."""
+    heads = F.transform(segments(url), lambda x: F.get(F.split(x, "[-.]", 2), F.lit(0)))
+    return F.filter(heads, lambda x: (F.length(x) >= 4) & (F.translate(x, "0123456789", "") == ""))
 
 
 def soft_404(requested: Column, final: Column) -> Column:

@@ -87,6 +87,36 @@ def test_canonical_urls(spark):
     assert one(spark, c, a="http://x.org/?a=&b=~*%20c") == "http://x.org/?a=&b=~%2A+c"
 
 
+@pytest.mark.parametrize(
+    ("a", "b"),
+    [
+        ("http://x.org/p?", "http://x.org/p"),
+        ("HTTP://X.org:80/P?a&b=1=2&&UTM_x=3&c=%e9%zz%", "http://x.org:80/P?a=&b=1%3D2&c=%EF%BF%BD%25zz%25"),
+        ("//Host/Path#f?x=1", "//host/Path"),
+        ("no address?q=a+b", "no address?q=a+b"),
+        ("https://x.org?utm_medium=1#t", "https://x.org"),
+        ("https://x.org/a?name=%75tm_x&ok=ž", "https://x.org/a?name=utm_x&ok=%C5%BE"),
+        ("https://x.org/a?%75tm_x=1", "https://x.org/a"),
+        ("", ""),
+        (None, None),
+    ],
+)
+def test_canonical_urls_by_parts(spark, a, b):
+    assert one(spark, urls.canonical(F.col("a").cast("string")), a=a) == b
+
+
+def test_links_with_attributes_in_any_order(spark):
+    page = """<LINK href='https://a/1' title="x" rel="Canonical"><link rel=stylesheet href="https://a/2"><link rel="alternate canonical" href="https://a/3"/><link rel="canonical">"""
+    assert one(spark, tx.links(F.col("a"), "canonical"), a=page) == ["https://a/1", "https://a/3"]
+    assert one(spark, tx.links(F.col("a"), "canonical"), a="no links") == []
+
+
+def test_numbers_of_segments(spark):
+    f = urls.numbers(F.col("a"))
+    for a, want in [("https://x.rs/1234-a/999/5678.html/v12345/67890", ["1234", "5678", "67890"]), ("https://x.rs/12a4/1234_5", []), ("bad", [])]:
+        assert one(spark, f, a=a) == want
+
+
 def test_sections_and_numbers(spark):
     for a, want in [("https://www.sea.test/lat/sport/fudbal/1/x.html", "sport"), ("https://x.rs/LAT/ci/Vesti/", "vesti"), ("https://x.rs/", ""), ("https://x.rs/latin/a", "latin")]:
         assert one(spark, urls.section(F.col("a")), a=a) == want
