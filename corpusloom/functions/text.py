@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import html
 
 import pyarrow as pa
@@ -10,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.functions.matching import ratio
+
 #: Serbian Cyrillic letters and their Latin forms, digraphs first.
 DIGRAPHS = {"Љ": "Lj", "Њ": "Nj", "Џ": "Dž", "љ": "lj", "њ": "nj", "џ": "dž"}
 CYRILLIC = "АБВГДЂЕЖЗИЈКЛМНОПРСТЋУФХЦЧШ"
@@ -150,18 +151,10 @@ def searchable(title: Column, lead: Column, body: Column) -> Column:
     return F.lower(F.concat(title, F.lit("\n"), lead, F.lit("\n"), body))
 
 
-def _ratio(x: str, y: str) -> float:
-    short, long = sorted((x, y), key=len)
-    if short in long:  # the longest block that both have is then the whole shorter text
-        return 2 * len(short) / (len(x) + len(y)) if long else 1.0
-    return difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()
-
-
 @F.arrow_udf(T.DoubleType())
 def similarity(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Ratcliff-Obershelp ratio of whole texts; null if either is null. Unless one holds the other, time grows with the
-    product of their lengths."""
-    return pa.array([None if x is None or y is None else _ratio(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
+    """Ratcliff-Obershelp ratio of whole texts; null if either is null."""
+    return pa.array([None if x is None or y is None else ratio(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
 
 
 @F.arrow_udf(T.StringType())

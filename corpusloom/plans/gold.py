@@ -141,13 +141,18 @@ def undecided(spark, sf):
 
 
 def fetch_outcomes(spark, sf):
-    """What became of documents asked for again: some gone, some failed, some edited."""
+    """What became of documents asked for again: some gone, some failed, some edited in their middle; points: similarities
+    of edited ones in ten thousandths."""
     id = F.col("doc_id")
-    d = load(spark, sf, "documents").select(id.alias("event_id"), F.col("source").alias("outlet_id"), F.col("text").alias("body"), F.md5("text").alias("body_hash"))
-    n = F.col("event_id")
-    again = d.select("event_id", F.when(n % 7 == 0, 404).when(n % 11 == 0, 503).otherwise(200).alias("status"), F.when(n % 5 == 0, F.concat(F.col("body"), F.lit("xxxx"))).otherwise(F.col("body")).alias("body"), F.when(n % 5 == 0, "other").otherwise(F.col("body_hash")).alias("body_hash"))
+    d = load(spark, sf, "documents", spread=True).select(id.alias("event_id"), F.col("source").alias("outlet_id"), F.col("text").alias("body"), F.md5("text").alias("body_hash"))
+    n, body = F.col("event_id"), F.col("body")
+    half = F.floor((F.length(body) + 1) / 2).cast("int")
+    put_in = F.concat(F.left(body, half), F.lit("☃☃☃☃"), F.substring(body, half + 1, F.length(body)))
+    put_over = F.concat(F.left(body, half), F.lit("☃"), F.substring(body, half + 2, F.length(body)))
+    edited = n % 5 == 0
+    again = d.select("event_id", F.when(n % 7 == 0, 404).when(n % 11 == 0, 503).otherwise(200).alias("status"), F.when(edited & ((n % 2 == 0) | (F.length(body) < 2)), put_in).when(edited, put_over).otherwise(body).alias("body"), F.when(edited, "other").otherwise(F.col("body_hash")).alias("body_hash"))
     r = release.verified(d, again)
-    return r.groupBy("outlet_id", "outcome").agg(F.count("*").alias("n"), F.count("similarity").alias("compared"))
+    return r.groupBy("outlet_id", "outcome").agg(F.count("*").alias("n"), F.count("similarity").alias("compared"), F.coalesce(F.sum(F.round(F.col("similarity") * 10000).cast("long")), F.lit(0)).alias("points"))
 
 
 QUERIES = {
@@ -202,6 +207,7 @@ ORACLE_SQL = {
     "projected_cost": RESULTS
     + ", t AS (SELECT count_if(decided) AS d, sum(spent) AS s FROM s), c AS (SELECT s + (CASE WHEN d >= 1000 THEN s / d ELSE CAST(0.0025 AS DOUBLE) END) * (100000 - d) AS c FROM t) SELECT round(c, 6) AS projected, c > 500 AS over FROM c",
     "undecided": RESULTS + "SELECT doc_id AS event_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND doc_id NOT IN (SELECT event_id FROM s WHERE decided OR failures >= 3)",
-    "fetch_outcomes": """WITH o AS (SELECT source AS outlet_id, CASE WHEN doc_id % 7 = 0 THEN 'gone' WHEN doc_id % 11 = 0 THEN 'failed' WHEN doc_id % 5 = 0 THEN 'edited' ELSE 'unchanged' END AS outcome FROM documents)
-      SELECT outlet_id, outcome, count(*) AS n, CAST(count_if(outcome = 'edited') AS BIGINT) AS compared FROM o GROUP BY ALL""",
+    "fetch_outcomes": """WITH o AS (SELECT source AS outlet_id, length(text) AS n, CASE WHEN doc_id % 7 = 0 THEN 'gone' WHEN doc_id % 11 = 0 THEN 'failed' WHEN doc_id % 5 = 0 THEN 'edited' ELSE 'unchanged' END AS outcome,
+        CASE WHEN doc_id % 2 = 0 OR length(text) < 2 THEN 2.0::double * length(text) / (2 * length(text) + 4) ELSE (length(text) - 1)::double / length(text) END AS ratio FROM documents)
+      SELECT outlet_id, outcome, count(*) AS n, CAST(count_if(outcome = 'edited') AS BIGINT) AS compared, CAST(coalesce(sum(round(round(ratio, 4) * 10000)) FILTER (outcome = 'edited'), 0) AS BIGINT) AS points FROM o GROUP BY ALL""",
 }
