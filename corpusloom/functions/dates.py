@@ -19,18 +19,19 @@ META_NAMES = ("article:published_time", "datePublished")
 SHOWN_CLASS = "storyDate"
 
 
+def mail_time(text: str | None) -> datetime | None:
+    """An RFC 2822 date; without a zone in UTC; None if it is none."""
+    try:
+        d = parsedate_to_datetime(text) if text else None
+    except (TypeError, ValueError, IndexError):
+        return None
+    return d and (d.replace(tzinfo=timezone.utc) if d.tzinfo is None else d.astimezone(timezone.utc))
+
+
 @F.arrow_udf(T.TimestampType())
 def mail_date(a: pa.Array) -> pa.Array:
     """RFC 2822 dates; without a zone in UTC; null if it is none."""
-
-    def one(x: str | None) -> datetime | None:
-        try:
-            d = parsedate_to_datetime(x) if x else None
-        except (TypeError, ValueError, IndexError):
-            return None
-        return d and (d.replace(tzinfo=timezone.utc) if d.tzinfo is None else d.astimezone(timezone.utc))
-
-    return pa.array([one(x) for x in a.to_pylist()], pa.timestamp("us", "UTC"))
+    return pa.array([mail_time(x) for x in a.to_pylist()], pa.timestamp("us", "UTC"))
 
 
 def iso(text: Column) -> Column:

@@ -12,7 +12,7 @@ from corpusloom.operators import coverage, discovery
 from corpusloom.operators import log as lg
 from corpusloom.plans import history
 from corpusloom.session import load, work_folder
-from corpusloom.sources import feeds, sinks
+from corpusloom.sources import discovered, feeds, sinks
 from corpusloom.streaming import log as stream
 
 FIRST, LAST = history.FIRST, history.LAST
@@ -101,11 +101,62 @@ def parts_replaced(spark, sf):
     return spark.read.schema(d.schema).parquet(out).select("doc_id", "n_chars", "source")
 
 
-QUERIES = {f.__name__: f for f in (corrections, coverage_facts, listing_days, section_stories, stream_current_units, parts_replaced)}
+def _escaped(c):
+    return F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+
+def _element(name, c):
+    return F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
+
+
+def dump_found(spark, sf):
+    """Candidates of two weeks, read by the source of dumps from a file for each day that pages are written to; the titles
+    of a fifth aren't escaped."""
+    p, id = load(spark, sf, "pages"), F.col("page_id")
+    title = F.concat(F.lit("A & <b> "), id.cast("string"))
+    sent = F.date_format(F.expr("timestamp'2024-11-01 06:30:00' + make_interval(0, 0, 0, cast(page_id % 30 AS int))"), "EEE, dd MMM yyyy HH:mm:ss")
+    value = _element("item", F.concat(_element("link", _escaped(F.col("url"))), F.when(id % 4 != 0, _element("pubDate", F.concat(sent, F.lit(" +0200")))).otherwise("<pubDate></pubDate>"), _element("title", F.when(id % 5 == 0, title).otherwise(_escaped(title)))))
+    day = F.expr("date_add(DATE'2024-11-01', cast(page_id % 30 AS int))")
+    folder = f"{work_folder(spark)}/dumps-{uuid.uuid4().hex}"
+    p.select(day.alias("day"), id, value.alias("value")).repartition("day").sortWithinPartitions("day", "page_id").drop("page_id").write.partitionBy("day").option("compression", "gzip").text(folder)
+    discovered.register(spark)
+    items = spark.read.format("feed_dump").load(folder).where(F.col("day").between(date(2024, 11, 5), date(2024, 11, 18)) & F.col("host").isNotNull())
+    found = feeds.dump_discovery(items, ["example.com", "example.net"])
+    return found.select(F.col("day").cast("string").alias("day"), "url", "host", "title", F.date_format("pub_date", "yyyy-MM-dd HH:mm").alias("sent"))
+
+
+def sitemap_found(spark, sf):
+    """An outlet's pages of a quarter, read by the source of sitemaps from files of up to a thousand pages a month."""
+    p, id = load(spark, sf, "pages"), F.col("page_id")
+    day = F.expr("date_add(DATE'2024-08-01', cast(page_id % 150 AS int))")
+    told = F.concat(F.lit('<news:news xmlns:news="n"><news:publication_date>'), F.date_format(day, "yyyy-MM-dd"), F.lit("T23:30:00-02:00</news:publication_date>"), _element("news:title", F.concat(F.lit("t &amp; "), id.cast("string"))), F.lit("</news:news>"))
+    value = _element("url", F.concat(_element("loc", _escaped(F.col("url"))), _element("lastmod", F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T08:00:00+00:00"))), F.when(id % 3 == 0, told).otherwise("")))
+    rows = p.select(F.date_format(day, "yyyy-MM").alias("month"), F.floor(id / 1000).alias("file"), value.alias("v"))
+    whole = rows.groupBy("month", "file").agg(F.array_join(F.array_sort(F.collect_list("v")), "").alias("v"))
+    folder = f"{work_folder(spark)}/sitemaps-{uuid.uuid4().hex}"
+    whole.select("month", "file", F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), "v", F.lit("</urlset>")).alias("value")).write.partitionBy("month", "file").text(folder)
+    discovered.register(spark)
+    first, last = date(2024, 9, 10), date(2024, 11, 20)
+    pages = spark.read.format("sitemap").load(folder).where(F.col("month").between(date(2024, 9, 1), date(2024, 11, 1)) & (F.col("host") != "spam-farm.example.com")).withColumn("child", F.col("path"))
+    registry = spark.createDataFrame([("com", ["example.com"])], "outlet_id string, domains array<string>")
+    found = feeds.sitemap_discovery(pages, pages.select(F.col("child").alias("loc"), "month").distinct(), registry, "com", first, last)
+    return found.select("url", F.col("day").cast("string").alias("day"), "title", F.date_format("lastmod", "yyyy-MM-dd HH:mm").alias("changed"))
+
+
+QUERIES = {f.__name__: f for f in (corrections, coverage_facts, listing_days, section_stories, dump_found, sitemap_found, stream_current_units, parts_replaced)}
 
 PAGES_LOG = "WITH g AS (SELECT event_id, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'insert' END AS kind, event_type, ts, user_id % 9 AS outlet_id, CAST(ts AS DATE) AS day, 'https://x.org/news/' || (1000000 + user_id * 1000 + dayofyear(ts)) AS u, ts - to_days(CAST(event_id % 4 AS INT)) AS valid FROM events) "
 NUMBERED = history.ORACLE_SQL["day_of_number"].replace("SELECT doc_id, doc_id * 37 % 12007 AS x FROM documents", "SELECT DISTINCT doc_id * 37 % 120011 AS doc_id, doc_id * 37 % 120011 AS x FROM documents")
+FOUND = r"""WITH h AS (SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '[?&]utm_source=[^&]*$', '') AS url, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\.', '') AS host FROM pages) """
 ORACLE_SQL = {
+    "dump_found": FOUND
+    + """, d AS (SELECT *, DATE '2024-11-01' + CAST(page_id % 30 AS INT) AS day FROM h)
+      SELECT strftime(day, '%Y-%m-%d') AS day, url, host, 'A & <b> ' || page_id AS title, CASE WHEN page_id % 4 <> 0 THEN strftime(day, '%Y-%m-%d') || ' 04:30' END AS sent FROM d
+      WHERE day BETWEEN '2024-11-05' AND '2024-11-18' AND (host LIKE '%.rs' OR regexp_matches(host, '(^|[.])example[.](com|net)$')) QUALIFY row_number() OVER (PARTITION BY day, url ORDER BY page_id) = 1""",
+    "sitemap_found": FOUND
+    + """, d AS (SELECT *, DATE '2024-08-01' + CAST(page_id % 150 AS INT) AS day FROM h)
+      SELECT url, strftime(CASE WHEN page_id % 3 = 0 THEN day + 1 ELSE CAST(date_trunc('month', day) AS DATE) END, '%Y-%m-%d') AS day, CASE WHEN page_id % 3 = 0 THEN 't & ' || page_id END AS title, strftime(day, '%Y-%m-%d') || ' 08:00' AS changed
+      FROM d WHERE day BETWEEN '2024-09-01' AND '2024-11-30' AND regexp_matches(host, '(^|[.])example[.]com$') AND host <> 'spam-farm.example.com'""",
     "corrections": PAGES_LOG
     + """, c AS (SELECT * FROM g WHERE kind = 'insert' QUALIFY row_number() OVER (PARTITION BY u ORDER BY ts DESC, CAST(event_id AS VARCHAR) DESC) = 1),
       n AS (SELECT *, strftime(date_trunc('second', valid) + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS new FROM c WHERE event_id % 3 <> 0 AND event_id % 7 <> 0 AND event_id % 11 <> 0 AND event_id % 5 <> 0)
