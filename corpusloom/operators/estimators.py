@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+from functools import reduce
+from math import exp, factorial
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -57,14 +61,38 @@ def stability(first: DataFrame, second: DataFrame, key: str, value: str) -> Data
     return counted.select("n", "agree", F.try_divide(F.col("agree").cast("double"), F.col("n").cast("double")).alias("share"), lo.alias("low"), hi.alias("high"))
 
 
-def bootstrap(df: DataFrame, cell: list[str], predicted: str, gold: str, weight: str, times: int = 2000, seed: int = 1, tasks: int = 32) -> DataFrame:
-    """One row: 95 % intervals of weighted precision and recall, cells resampled with replacement.
+#: 2 ** 32 times the chances that a Poisson number of mean 1 is at most 0, 1, 2 and so on, as whole numbers.
+POISSON = [int(sum(Fraction(1, factorial(i)) for i in range(k + 1)) * Fraction(exp(-1)) * 2**32) for k in range(13)]
+
+
+def poisson(*parts: Column) -> Column:
+    """A Poisson number of mean 1 that the parts' MD5 decides, the same in every engine."""
+    drawn = F.conv(F.left(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), F.lit(8)), 16, 10).cast("bigint")
+    return reduce(Column.__add__, [(drawn >= t).cast("int") for t in POISSON])
+
 
-    Rows of a cell that agree in prediction, gold and weight are alike, so Spark counts them, and a replicate draws how
-    often each kind comes (multinomial, as many as the cell has rows): the bootstrap over every row. A copy of the
-    counts goes to each task; weights belong to strata, so the kinds are few. Each replicate has a seed of its own, so
-    results don't depend on the number of tasks."""
+def _by_hash(df: DataFrame, predicted: Column, gold: Column, weight: Column, key: str, times: int, seed: int) -> DataFrame:
+    """(precision, recall) of each replicate, a row of which counts as often as a Poisson number of (seed, replicate, key)
+    says. Column expressions alone; tasks add replicates up before they are shuffled."""
+    rows = df.select(predicted.alias("p"), gold.alias("g"), weight.alias("w"), F.col(key).alias("k"))
+    drawn = rows.select("p", "g", "w", "k", F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("id")).withColumn("w", F.col("w") * poisson(F.lit(seed), F.col("id"), F.col("k")))
+    sums = drawn.groupBy("id").agg(*[F.coalesce(F.sum(F.when(F.expr(c), F.col("w"))), F.lit(0.0)).alias(n) for n, c in (("both", "p AND g"), ("pred", "p"), ("all_gold", "g"))])
+    every = df.sparkSession.range(times).join(sums, "id", "left")
+    return every.select("id", F.try_divide("both", "pred").alias("precision"), F.try_divide("both", "all_gold").alias("recall"))
+
+
+def bootstrap(df: DataFrame, cell: list[str], predicted: str, gold: str, weight: str, times: int = 2000, seed: int = 1, tasks: int = 32, key: str | None = None) -> DataFrame:
+    """One row: 95 % intervals of weighted precision and recall.
+
+    With a ``key`` (null or not) every row counts as often as a Poisson number that a hash of seed, replicate and key gives:
+    nothing is drawn on the driver, and other engines draw the same. Without one, cells are resampled with replacement:
+    rows of a cell that agree in prediction, gold and weight are alike, so Spark counts them, and a replicate draws how
+    often each kind comes (multinomial, as many as the cell has rows). A copy of the counts goes to each task; weights
+    belong to strata, so the kinds are few. Each replicate has a seed of its own, so results don't depend on the number
+    of tasks."""
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    if key:
+        return _intervals(_by_hash(df, yes(predicted), yes(gold), F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), key, times, seed))
     kinds = df.groupBy(F.concat_ws(":", *cell).alias("cell"), yes(predicted).alias("p"), yes(gold).alias("g"), F.coalesce(F.col(weight).cast("double"), F.lit(0.0)).alias("w")).agg(F.count("*").alias("n"))
     rows = kinds.orderBy("cell", "p", "g", "w").toPandas()
     cells = [(x.index.to_numpy(), int(x["n"].sum()), x["n"].to_numpy(float) / float(x["n"].sum())) for _, x in rows.groupby("cell")]
@@ -82,8 +110,10 @@ def bootstrap(df: DataFrame, cell: list[str], predicted: str, gold: str, weight:
                 out.append((int(i), both / pred if pred else None, both / all_gold if all_gold else None))
             yield pd.DataFrame(out, columns=["id", "precision", "recall"])
 
-    runs = df.sparkSession.range(0, times, 1, tasks).mapInPandas(work, "id long, precision double, recall double")
+    return _intervals(df.sparkSession.range(0, times, 1, tasks).mapInPandas(work, "id long, precision double, recall double"))
+
 
+def _intervals(runs: DataFrame) -> DataFrame:
     def ends(c: str) -> list[Column]:
         s, n = F.array_sort(F.collect_list(c)), F.count(c)
         low, high = F.floor(n * 0.025), F.floor(n * 0.975) - 1

@@ -116,7 +116,7 @@ def stability(spark, sf):
 
 
 def bootstrap_intervals(spark, sf):
-    return _rounded(estimators.bootstrap(_judged(spark, sf), ["source"], "p", "g", "w"))
+    return _rounded(estimators.bootstrap(_judged(spark, sf), ["source"], "p", "g", "w", 2000, 1, 32, "doc_id"))
 
 
 def _results(spark, sf):
@@ -198,6 +198,11 @@ ORACLE_SQL = {
       SELECT doc_id, y >= 2 AS in_scope, CASE WHEN y >= 2 THEN coalesce((SELECT string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FROM n WHERE n.doc_id = v.doc_id), '') ELSE '' END AS clauses FROM v
       UNION ALL SELECT doc_id, arg_max(yes, coder), array_to_string(arg_max(clauses, coder), ',') FROM last WHERE doc_id % 4 = 0 GROUP BY doc_id""",
     "precision_recall": JUDGED + f"SELECT 'all' AS source, {_PR} UNION ALL SELECT source, {_PR} GROUP BY source",
+    "bootstrap_intervals": JUDGED.replace("SELECT l.doc_id, source,", "SELECT l.doc_id, source, l.doc_id AS k,")
+    + f""", r AS (SELECT id, p, g, w * ({" + ".join(f"(u >= {t})::int" for t in estimators.POISSON)}) AS w FROM (SELECT id, p, g, w, CAST('0x' || left(md5('1:' || id || ':' || k), 8) AS BIGINT) AS u FROM j, range(2000) AS x(id))),
+      s AS (SELECT id, coalesce(sum(w) FILTER (p AND g), 0) AS hit, coalesce(sum(w) FILTER (p), 0) AS pred, coalesce(sum(w) FILTER (g), 0) AS gold FROM r GROUP BY id),
+      i AS (SELECT list_sort(list(hit / pred) FILTER (pred > 0)) AS p, list_sort(list(hit / gold) FILTER (gold > 0)) AS r FROM s)
+      SELECT round(p[floor(len(p) * 0.025)::int + 1], 6) AS precision_low, round(p[floor(len(p) * 0.975)::int], 6) AS precision_high, round(r[floor(len(r) * 0.025)::int + 1], 6) AS recall_low, round(r[floor(len(r) * 0.975)::int], 6) AS recall_high, 2000::bigint AS replicates FROM i""",
     "extension_rule": JUDGED + ", s AS (SELECT source, coalesce(sum(w) FILTER (g), 0) AS x FROM j GROUP BY source) SELECT source, round(coalesce(x / nullif(sum(x) OVER (), 0), 0), 6) AS share, coalesce(x / nullif(sum(x) OVER (), 0), 0) > CAST(0.05 AS DOUBLE) AS extend FROM s",
     "krippendorff_alpha": """WITH v AS (SELECT doc_id, 'a' AS c, quality AS v FROM labels UNION ALL SELECT doc_id, 'b', toxic FROM labels), p AS (SELECT x.v AS a, y.v AS b FROM v x JOIN v y ON x.doc_id = y.doc_id AND x.c <> y.c),
       n AS (SELECT a, CAST(count(*) AS DOUBLE) AS n FROM p GROUP BY a), t AS (SELECT sum(n) AS n, sum(n * n) AS s FROM n) SELECT round(1 - (SELECT count_if(a <> b) FROM p) / ((n * n - s) / (n - 1)), 6) AS alpha, CAST(n AS BIGINT) AS values FROM t""",

@@ -141,6 +141,10 @@ def _name(t):
 
 _REPEATED = r"""SELECT doc_id, count(*) <> count(DISTINCT p) AS r FROM (SELECT doc_id, regexp_replace(line, '^\s+|\s+$', '', 'g') AS p FROM l) WHERE length(p) > 40 GROUP BY doc_id"""
 ORACLE_SQL = {
+    "token_portions": """WITH RECURSIVE r AS (SELECT doc_id, source, length(text) / 3 AS s, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+      w(source, k, doc_id, held, portion) AS (SELECT source, k, doc_id, s, 0::bigint FROM r WHERE k = 1
+        UNION ALL SELECT r.source, r.k, r.doc_id, CASE WHEN held > 0 AND held + s > 5000 THEN s ELSE held + s END, CASE WHEN held > 0 AND held + s > 5000 THEN portion + 1 ELSE portion END FROM w JOIN r ON r.source IS NOT DISTINCT FROM w.source AND r.k = w.k + 1)
+      SELECT source, doc_id, portion FROM w""",
     "lexicon_rate_by_source": M + "SELECT source, count(*) AS docs, CAST(count_if(candidate) AS BIGINT) AS candidates, round(count_if(candidate) / count(*), 6) AS rate FROM m GROUP BY source",
     "lexicon_hits": M + f"SELECT doc_id, {', '.join(f'hit_{x}' for x in LISTS)}, candidate, concat_ws('; ', {', '.join(f"CASE WHEN t{i} THEN '{_name(t)}' END" for i, t in enumerate(TERMS))}) AS terms FROM m",
     "lexicon_report_rollup": M + f"SELECT source, count(*) AS docs, CAST(count_if(candidate) AS BIGINT) AS candidates, {', '.join(f'CAST(count_if(hit_{x} > 0) AS BIGINT) AS docs_{x}' for x in LISTS)} FROM m GROUP BY ROLLUP (source)",
