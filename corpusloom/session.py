@@ -66,3 +66,11 @@ def work_folder(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="corpusloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
+
+
+def checkpointed(df):
+    """df with its lineage cut by files in the shared folder, which survive the loss of executors."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(work_folder(df.sparkSession))
+    return df.checkpoint()
