@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from math import inf, isfinite
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import vectors
+from corpusloom.session import checkpointed
 
 CUTS = {"top10": 0.9, "next20": 0.7}
 
@@ -31,12 +35,12 @@ def _edges(scores_of: DataFrame, column: str, pieces: int = 256) -> list[float]:
 
 
 def _binned(rows: DataFrame, column: str) -> DataFrame:
-    """rows with ``bin``, which follows the order of the scores."""
-    edges = _edges(rows, column)
-    place = F.lit(0)
-    if edges:
-        place = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(column)))
-    return rows.withColumn("bin", place)
+    """rows with ``bin``, which follows the order of the scores; equal scores are in one."""
+    edges = [e for e in _edges(rows, column) if isfinite(e)]
+    if not edges:
+        return rows.withColumn("bin", F.lit(0))
+    found = Bucketizer(splits=[-inf, *edges, inf], inputCol=column, outputCol="bin", handleInvalid="keep").transform(rows)
+    return found.withColumn("bin", F.col("bin").cast("int"))
 
 
 def cuts(scored: DataFrame, candidate: str) -> DataFrame:
@@ -46,7 +50,7 @@ def cuts(scored: DataFrame, candidate: str) -> DataFrame:
     place are put in order, so no task holds all scores."""
     shares = [*CUTS.values(), 0.0]
     counts = scored.where(~F.col(candidate) & F.col("score").isNotNull()).groupBy(F.col("score").alias("s")).agg(F.count("*").alias("n"))
-    binned = _binned(counts, "s")
+    binned = _binned(checkpointed(counts), "s")
     before = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # over at most as many rows as there are bins
     bins = binned.groupBy("bin").agg(F.sum("n").alias("size")).select("bin", "size", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("lower"), F.sum("size").over(Window.partitionBy()).alias("total"))
     places = bins.select("bin", "size", "lower", F.posexplode(F.array(*[(F.col("total") - 1) * F.lit(q) for q in shares])).alias("which", "at"))
@@ -79,7 +83,7 @@ def auc(scored: DataFrame, positive: str, score: str = "score") -> DataFrame:
     size, whatever the scores' spread, the bins' totals are summed up in order, and within a bin the scores are."""
     p = F.col(positive).cast("bigint")
     counts = scored.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(p).alias("pos"), F.sum(1 - p).alias("neg"))
-    binned = _binned(counts, "s")
+    binned = _binned(checkpointed(counts), "s")
     before = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = binned.groupBy("bin").agg(F.sum("neg").alias("n")).select("bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lower"))
     inside = Window.partitionBy("bin").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
