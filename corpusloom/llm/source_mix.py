@@ -215,7 +215,8 @@ def pieces(mix: Mix) -> DataFrame:
     cut = mix.rows.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("before") / b), F.floor((F.col("before") + F.col("size") - 1) / b))))
     first = F.col("block") * b
     begin, end = F.greatest(first - F.col("before"), F.lit(0)), F.least(first + F.col("words") - F.col("before"), F.col("size"))
-    joined = cut.join(draws(mix.rows.sparkSession, mix.plan), ["number", "block"])
+    # a range of shards looks small to the planner, but the draws grow with the input: they are never broadcast
+    joined = cut.join(draws(mix.rows.sparkSession, mix.plan).hint("merge"), ["number", "block"])
     return joined.select("doc_id", "h", "number", "size", "before", "shard", "place", "turn", begin.alias("begin"), end.alias("end")).where("begin < end")
 
 
