@@ -12,7 +12,7 @@ from corpusloom.operators import coverage, discovery
 from corpusloom.operators import log as lg
 from corpusloom.plans import history
 from corpusloom.session import load, work_folder
-from corpusloom.sources import discovered, feeds, sinks
+from corpusloom.sources import discovered, feeds, keyed, sinks
 from corpusloom.streaming import log as stream
 
 FIRST, LAST = history.FIRST, history.LAST
@@ -143,12 +143,25 @@ def sitemap_found(spark, sf):
     return found.select("url", F.col("day").cast("string").alias("day"), "title", F.date_format("lastmod", "yyyy-MM-dd HH:mm").alias("changed"))
 
 
-QUERIES = {f.__name__: f for f in (corrections, coverage_facts, listing_days, section_stories, dump_found, sitemap_found, stream_current_units, parts_replaced)}
+def table_upserted(spark, sf):
+    """Documents as a table with a key, after a batch of changed, new and gone ones that touches its first files only."""
+    d, id = load(spark, sf, "documents").select("doc_id", "n_chars", "source"), F.col("doc_id")
+    root = f"{work_folder(spark)}/keyed-{uuid.uuid4().hex}"
+    keyed.create(d, root, "doc_id", file_rows=1000)
+    changed = d.where(id.between(40, 90)).withColumn("n_chars", F.lit(0).cast("bigint"))
+    new = d.where(id % 40 == 0).withColumn("doc_id", id + 10_000_000)
+    keyed.upsert(spark, root, changed.unionByName(new), "doc_id", gone=d.where(id.between(100, 400) & (id % 50 == 7)))
+    return keyed.read(spark, root)
+
+
+QUERIES = {f.__name__: f for f in (corrections, coverage_facts, listing_days, section_stories, dump_found, sitemap_found, stream_current_units, parts_replaced, table_upserted)}
 
 PAGES_LOG = "WITH g AS (SELECT event_id, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'insert' END AS kind, event_type, ts, user_id % 9 AS outlet_id, CAST(ts AS DATE) AS day, 'https://x.org/news/' || (1000000 + user_id * 1000 + dayofyear(ts)) AS u, ts - to_days(CAST(event_id % 4 AS INT)) AS valid FROM events) "
 NUMBERED = history.ORACLE_SQL["day_of_number"].replace("SELECT doc_id, doc_id * 37 % 12007 AS x FROM documents", "SELECT DISTINCT doc_id * 37 % 120011 AS doc_id, doc_id * 37 % 120011 AS x FROM documents")
 FOUND = r"""WITH h AS (SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '[?&]utm_source=[^&]*$', '') AS url, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\.', '') AS host FROM pages) """
 ORACLE_SQL = {
+    "table_upserted": """SELECT doc_id, CASE WHEN doc_id BETWEEN 40 AND 90 THEN 0 ELSE n_chars END AS n_chars, source FROM documents WHERE NOT (doc_id BETWEEN 100 AND 400 AND doc_id % 50 = 7)
+      UNION ALL SELECT doc_id + 10000000, n_chars, source FROM documents WHERE doc_id % 40 = 0""",
     "dump_found": FOUND
     + """, d AS (SELECT *, DATE '2024-11-01' + CAST(page_id % 30 AS INT) AS day FROM h)
       SELECT strftime(day, '%Y-%m-%d') AS day, url, host, 'A & <b> ' || page_id AS title, CASE WHEN page_id % 4 <> 0 THEN strftime(day, '%Y-%m-%d') || ' 04:30' END AS sent FROM d
