@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.sources.discovered import file_system
+
 #: Columns that hold texts of others and are never released.
 TEXT_COLUMNS = frozenset({"title", "lead", "body", "title_original", "body_original", "text", "lemmas"})
 
@@ -101,16 +106,34 @@ def release(df: DataFrame, path: str) -> None:
     guarded(df).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
+#: Bytes of a file that a task reads at once.
+PIECE = 4 << 20
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sums = []
+        for path in batch.column(0).to_pylist():
+            h = hashlib.sha256()
+            system, name = file_system(path)
+            with system.open_input_stream(name, compression=None) as stream:
+                while piece := stream.read(PIECE):
+                    h.update(piece)
+            sums.append(h.hexdigest())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.string())], names=["path", "bytes", "sha256"])
+
+
 def checksums(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, sha256) of every file under the path, by path; the sums are made where the files are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).orderBy("path")
+    """(path, bytes, sha256) of every file under the path, by path. Tasks read files of any size a piece at a time, through
+    Arrow's file systems; no file's content becomes a value. Empty files are passed over."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("bytes"))
+    return files.mapInArrow(_summed, "path string, bytes bigint, sha256 string").orderBy("path")
 
 
 def manifest(spark: SparkSession, path: str, name: str, made_at: str, notes: dict[str, str] | None = None) -> DataFrame:
     """What a release holds, as one row, and written as JSON beside it (path + ".manifest"): name, time, rows and columns of
     the table, its files with bytes and checksums, and notes (versions of rules, terms, models). An error if a text column
-    has slipped in. Files are summed where they are read; one holds less than 2 GB, as Spark's writer makes them."""
+    has slipped in. Files are summed where they are read, whatever their size."""
     table = guarded(spark.read.parquet(path))
     files = checksums(spark, path).where(F.col("path").rlike(r"/part-[^/]*$")).select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "sha256")
     listed = files.agg(F.array_sort(F.collect_list(F.struct("file", "bytes", "sha256"))).alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))

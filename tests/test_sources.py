@@ -1,4 +1,5 @@
 import gzip
+import hashlib
 from datetime import date, datetime
 
 import pytest
@@ -199,3 +200,20 @@ def test_stream_sees_each_url_once(spark, tmp_path):
     q = stream.append_once(stream.first_seen(stream.read(spark, str(tmp_path / "in"), schema)), str(tmp_path / "out"), str(tmp_path / "mark"))
     q.awaitTermination()
     assert sorted(r.url for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["u", "v"]
+
+
+def test_checksums_of_files_of_any_size(spark, tmp_path):
+    """A file of more than 2 GB, which no value of Spark's holds, and one in a folder; empty ones Spark passes over."""
+    folder = tmp_path / "f"
+    (folder / "in").mkdir(parents=True)
+    large = (2 << 30) + 12_345
+    with (folder / "large").open("wb") as f:
+        f.truncate(large)
+    (folder / "empty").touch()
+    (folder / "in" / "é x.bin").write_bytes(b"abc")
+    zeros, piece = hashlib.sha256(), bytes(1 << 20)
+    for _ in range(large >> 20):
+        zeros.update(piece)
+    zeros.update(bytes(large & (1 << 20) - 1))
+    got = {r["path"].rsplit("/", 1)[1]: (r["bytes"], r["sha256"]) for r in sinks.checksums(spark, str(folder)).collect()}
+    assert got == {"large": (large, zeros.hexdigest()), "é x.bin": (3, hashlib.sha256(b"abc").hexdigest())}
