@@ -32,6 +32,14 @@ def op3(spark: SparkSession, conversations: DataFrame) -> DataFrame:
     return quote_threads.thread(c).select("conv_id", "turn", "role", "reply.*")
 
 
+def quote_conversations(spark: SparkSession, conversations: DataFrame) -> DataFrame:
+    """The threads that op3's operator builds: their messages in reply order, without quotes, as one text a part."""
+    c = conversations.select("conv_id", "turn", "role", "text")
+    built = quote_threads.conversations(quote_threads.thread(c))
+    said = F.transform("messages", lambda m: F.concat(F.coalesce(m["role"], F.lit("")), F.lit(": "), F.coalesce(m["text"], F.lit(""))))
+    return built.select(F.col("conversation").alias("conv_id"), "root_turn", "part", F.size("messages").cast("long").alias("n_messages"), F.array_join(said, "\n\n").alias("text"))
+
+
 def op4(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Every document stored as an image and read back."""
     return jpeg.with_digests(docs.select("doc_id", "text")).select("doc_id", "media.*")
@@ -100,6 +108,7 @@ QUERIES = {
     "op11_filter_audit": lambda spark, sf_dir: op11(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op12_source_mix": lambda spark, sf_dir: op12(spark, table(spark, sf_dir, "documents")),
     "op13_merkle": lambda spark, sf_dir: op13(spark, table(spark, sf_dir, "documents")),
+    "quote_conversations": lambda spark, sf_dir: quote_conversations(spark, table(spark, sf_dir, "conversations")),
 }
 
 ORACLE_SQL: dict[str, str] = {"op10_url_filter": url_filter.oracle_sql(), "op11_filter_audit": filter_audit.ORACLE_SQL, "op13_merkle": merkle.oracle_sql()}

@@ -115,3 +115,15 @@ def test_conversations_against_plain_python(spark):
         assert [m["turn"] for m in got] == sorted((t for t, _, _ in want[key]), key=lambda t: t or 0)
         assert sorted((m["turn"] or 0, m["role"] or "", m["text"]) for m in got) == sorted((t or 0, r or "", x) for t, r, x in want[key])
         assert all(not m["text"].startswith(">") for m in got)
+
+
+def test_query_of_built_conversations(spark):
+    rows = [(1, 0, "user", "How are you?"), (1, 1, "assistant", "> How are you?\n\nFine."), (1, 2, "user", "Another matter."), (1, 3, "user", "> Fine.\n\nGood."), (2, 0, None, None), (None, 5, "user", "lost")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["root_turn"], r["part"]): (r["n_messages"], r["text"]) for r in q.quote_conversations(spark, df).collect()}
+    assert got[1, 0, 0] == (3, "user: How are you?\n\nassistant: Fine.\n\nuser: Good.") and got[1, 2, 0] == (1, "user: Another matter.")
+    assert got[2, 0, 0] == (1, ": ") and got[None, 5, 0] == (1, "user: lost") and len(got) == 4
+    sf = "/root/testdata/sf0.01"
+    whole = q.QUERIES["quote_conversations"](spark, sf)
+    assert whole.selectExpr("sum(n_messages)").first()[0] == spark.read.parquet(f"{sf}/conversations.parquet").count()
+    assert q.quote_conversations(spark, df.where("turn > 99")).count() == 0
