@@ -12,7 +12,7 @@ from corpusloom.operators import coverage, discovery
 from corpusloom.operators import log as lg
 from corpusloom.plans import history
 from corpusloom.session import load, work_folder
-from corpusloom.sources import discovered, feeds, keyed, sinks
+from corpusloom.sources import discovered, feeds, keyed, packs, sinks
 from corpusloom.streaming import log as stream
 
 FIRST, LAST = history.FIRST, history.LAST
@@ -154,12 +154,23 @@ def table_upserted(spark, sf):
     return keyed.read(spark, root)
 
 
-QUERIES = {f.__name__: f for f in (corrections, coverage_facts, listing_days, section_stories, dump_found, sitemap_found, stream_current_units, parts_replaced, table_upserted)}
+def packed_objects(spark, sf):
+    """Pages by the hash of their HTML, six sevenths of which are stored, in two batches of which the second has the first's."""
+    p, id = load(spark, sf, "pages", spread=True).select("page_id", "html"), F.col("page_id")
+    root = f"{work_folder(spark)}/objects-{uuid.uuid4().hex}"
+    packs.add(p.where((id % 7 != 0) & (id % 2 == 0)), root, "html")
+    packs.add(p.where(id % 7 != 0), root, "html")
+    found = packs.objects(p.select("page_id", F.sha2("html", 256).alias("sha256")), root, "sha256")
+    return found.select("page_id", "sha256", F.octet_length(packs.verified(F.col("content"), F.col("sha256"))).alias("bytes"))
+
+
+QUERIES = {f.__name__: f for f in (corrections, coverage_facts, listing_days, section_stories, dump_found, sitemap_found, stream_current_units, parts_replaced, table_upserted, packed_objects)}
 
 PAGES_LOG = "WITH g AS (SELECT event_id, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'insert' END AS kind, event_type, ts, user_id % 9 AS outlet_id, CAST(ts AS DATE) AS day, 'https://x.org/news/' || (1000000 + user_id * 1000 + dayofyear(ts)) AS u, ts - to_days(CAST(event_id % 4 AS INT)) AS valid FROM events) "
 NUMBERED = history.ORACLE_SQL["day_of_number"].replace("SELECT doc_id, doc_id * 37 % 12007 AS x FROM documents", "SELECT DISTINCT doc_id * 37 % 120011 AS doc_id, doc_id * 37 % 120011 AS x FROM documents")
 FOUND = r"""WITH h AS (SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '[?&]utm_source=[^&]*$', '') AS url, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\.', '') AS host FROM pages) """
 ORACLE_SQL = {
+    "packed_objects": "SELECT page_id, sha256(html) AS sha256, CASE WHEN sha256(html) IN (SELECT sha256(html) FROM pages WHERE page_id % 7 <> 0) THEN CAST(strlen(html) AS INT) END AS bytes FROM pages",
     "table_upserted": """SELECT doc_id, CASE WHEN doc_id BETWEEN 40 AND 90 THEN 0 ELSE n_chars END AS n_chars, source FROM documents WHERE NOT (doc_id BETWEEN 100 AND 400 AND doc_id % 50 = 7)
       UNION ALL SELECT doc_id + 10000000, n_chars, source FROM documents WHERE doc_id % 40 = 0""",
     "dump_found": FOUND
