@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import coverage, discovery
 from corpusloom.operators import log as lg
 from corpusloom.plans import history
-from corpusloom.session import load, work_folder
+from corpusloom.session import checkpointed, load, work_folder
 from corpusloom.sources import discovered, feeds, keyed, packs, sinks
 from corpusloom.streaming import log as stream
 
@@ -138,6 +138,7 @@ def sitemap_found(spark, sf):
     discovered.register(spark)
     first, last = date(2024, 9, 10), date(2024, 11, 20)
     pages = spark.read.format("sitemap").load(folder).where(F.col("month").between(date(2024, 9, 1), date(2024, 11, 1)) & (F.col("host") != "spam-farm.example.com")).withColumn("child", F.col("path"))
+    pages = checkpointed(pages)  # files are read once
     registry = spark.createDataFrame([("com", ["example.com"])], "outlet_id string, domains array<string>")
     found = feeds.sitemap_discovery(pages, pages.select(F.col("child").alias("loc"), "month").distinct(), registry, "com", first, last)
     return found.select("url", F.col("day").cast("string").alias("day"), "title", F.date_format("lastmod", "yyyy-MM-dd HH:mm").alias("changed"))
