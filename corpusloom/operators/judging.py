@@ -5,6 +5,7 @@ Sending is left to others: requests leave as lines of JSON, results come back as
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,6 +67,8 @@ def first_batch(df: DataFrame, order: str, size: Column, most_bytes: int, most_r
 
 #: Rows that a task of ``portions`` works on at once, as a power of two.
 BLOCK_BITS = 13
+#: Blocks whose outcomes are composed at once, as a power of two.
+FAN_BITS = 6
 
 
 def _break(sizes: list[float], at: int, held: float, most: float) -> tuple[int, float]:
@@ -99,32 +102,75 @@ def _outcomes(sizes: list[float], most: float) -> tuple[list[float], list[int],
     return head, [known[j][0] for j in range(len(head))], [known[j][1] for j in range(len(head))]
 
 
+def _passed(held: np.ndarray, head: list[float], breaks: list[int], tails: list[float], most: float) -> tuple[np.ndarray, np.ndarray]:
+    """(portions that a block begins, what is held at its end) for each of several amounts held before it."""
+    more, after, held = np.zeros(len(held), np.int64), np.zeros(len(held)), held.copy()
+    walking = np.ones(len(held), bool)
+    for s, b, t in zip(head, breaks, tails):
+        stop = walking & (held != 0) & (held + s > most)
+        more[stop], after[stop] = 1 + b, t
+        walking &= ~stop
+        if not walking.any():
+            break
+        held[walking] += s
+    return more, np.where(walking, held, after)
+
+
+def _composed(blocks: list[tuple], most: float) -> tuple[list[float], list[int], list[float]]:
+    """The outcomes of blocks that follow each other, as of one block."""
+    head: list[float] = []
+    numbers, held = np.zeros(0, np.int64), np.zeros(0)
+    at, begun = 0.0, False
+    for sizes, breaks, tails in blocks:
+        more, held = _passed(held, sizes, breaks, tails, most)
+        numbers = numbers + more
+        if not begun:
+            j, at = _break(sizes, 0, at, most)
+            begun, j = j < len(sizes), min(j + 1, len(sizes))
+            head += sizes[:j]
+            numbers, held = np.concatenate([numbers, breaks[:j]]), np.concatenate([held, tails[:j]])
+    return head, numbers.astype(int).tolist(), held.tolist()
+
+
 def portions(df: DataFrame, group: str, order: str, size: Column, most: int) -> DataFrame:
     """df's (group, order) with ``portion``, from 0 in each group: rows in order as long as the sum of their sizes stays
     within ``most``, then the next portion; a larger row stands alone. A null size counts as 0.
 
     Groups may be of any size: rows are put in order by ranges and cut into blocks. For each row of a block that can be
-    the first to begin a portion, a task says where that leads; of each block only this goes through a group's fold,
-    which gives every block the portion that it starts in. So the result is that of one walk through the group."""
+    the first to begin a portion, a task says where that leads. These outcomes are composed up a tree of blocks, at most
+    ``2 ** FAN_BITS`` at a time, and from its top every block learns the portion that it starts in. So the result is that
+    of one walk through the group, and no task sees more of a group than the blocks below one node."""
     slim = df.select(F.col(group).alias("g"), F.col(order).alias("o"), F.coalesce(size.cast("double"), F.lit(0.0)).alias("s"))
-    kinds = dict(slim.dtypes)
+    kinds, fan = dict(slim.dtypes), FAN_BITS
     # checkpointed, since the rows' places must be the same in both passes
     placed = slim.repartitionByRange("g", "o").sortWithinPartitions("g", "o", "s").withColumn("at", F.monotonically_increasing_id()).checkpoint()
-    rows = placed.withColumn("block", F.shiftright("at", BLOCK_BITS))
+    # an id is the number of a partition and, in its low 33 bits, that of a row in it
+    part, row = F.shiftright("at", 33), F.shiftright(F.col("at").bitwiseAND(F.lit((1 << 33) - 1)), BLOCK_BITS)
+    last = placed.agg(F.max(part).alias("part"), F.max(row).alias("row")).first()
+    inner = (last["row"] or 0).bit_length()
+    levels = max(1, -(-((last["part"] or 0).bit_length() + inner) // fan))
+    rows = placed.withColumn("block", F.shiftleft(part, inner).bitwiseOR(row))
+    outcome = f"g {kinds['g']}, block long, head array<double>, breaks array<long>, tails array<double>"
+    each = ["head", "breaks", "tails"]
+
+    def frame(x: pd.DataFrame, block: int, found: tuple) -> pd.DataFrame:
+        return pd.DataFrame({"g": x["g"].iloc[:1].tolist(), "block": [block]} | {c: [v] for c, v in zip(each, found)})
 
     def summary(x: pd.DataFrame) -> pd.DataFrame:
-        head, breaks, held = _outcomes(x.sort_values("at")["s"].tolist(), most)
-        return pd.DataFrame({"g": x["g"].iloc[:1].tolist(), "block": [x["block"].iloc[0]], "head": [head], "breaks": [breaks], "tails": [held]})
-
-    def fold(x: pd.DataFrame) -> pd.DataFrame:
-        number, held, found = 0, 0.0, []
-        for head, breaks, tails in x.sort_values("block")[["head", "breaks", "tails"]].itertuples(index=False):
-            found.append((number, held))
-            j, held = _break(list(head), 0, held, most)
-            if j < len(head):
-                number, held = number + 1 + int(breaks[j]), float(tails[j])
+        return frame(x, x["block"].iloc[0], _outcomes(x.sort_values("at")["s"].tolist(), most))
+
+    def compose(x: pd.DataFrame) -> pd.DataFrame:
+        below = [tuple(v.tolist() for v in r) for r in x.sort_values("block")[each].itertuples(index=False)]
+        return frame(x, x["block"].iloc[0] >> fan, _composed(below, most))
+
+    def descend(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values("block")
-        return x.assign(number=[n for n, _ in found], held=[h for _, h in found])[["g", "block", "number", "held"]]
+        number, held, found = int(x["number"].iloc[0]), x["held"].to_numpy()[:1].astype(float), []
+        for head, breaks, tails in x[each].itertuples(index=False):
+            found.append((number, float(held[0])))
+            more, held = _passed(held, head, breaks, tails, most)
+            number += int(more[0])
+        return x[["g", "block"]].assign(number=[n for n, _ in found], held=[h for _, h in found])
 
     def numbered(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values("at")
@@ -136,10 +182,21 @@ def portions(df: DataFrame, group: str, order: str, size: Column, most: int) ->
             found.append(number)
         return x.assign(portion=found)[["g", "o", "portion"]]
 
-    blocks = rows.groupBy("g", "block").applyInPandas(summary, f"g {kinds['g']}, block long, head array<double>, breaks array<long>, tails array<double>")
-    starts = blocks.groupBy("g").applyInPandas(fold, f"g {kinds['g']}, block long, number long, held double").select(F.col("g").alias("_g"), F.col("block").alias("_block"), "number", "held")
-    joined = rows.join(starts, F.col("g").eqNullSafe(F.col("_g")) & (F.col("block") == F.col("_block"))).drop("_g", "_block")
-    done = joined.groupBy("g", "block").applyInPandas(numbered, f"g {kinds['g']}, o {kinds['o']}, portion long")
+    def under(x: DataFrame, starts: DataFrame, node: Column) -> DataFrame:
+        known = starts.select(F.col("g").alias("_g"), F.col("block").alias("_block"), "number", "held")
+        return x.join(known, F.col("g").eqNullSafe(F.col("_g")) & (node == F.col("_block"))).drop("_g", "_block")
+
+    node = F.shiftright("block", fan)
+    tree = [rows.groupBy("g", "block").applyInPandas(summary, outcome)]
+    for _ in range(1, levels):
+        # a level is read going up and going down
+        tree[-1] = tree[-1].checkpoint()
+        tree.append(tree[-1].groupBy("g", node.alias("node")).applyInPandas(compose, outcome))
+    starts = None
+    for level in reversed(tree):
+        held = level.withColumns({"number": F.lit(0).cast("bigint"), "held": F.lit(0.0)}) if starts is None else under(level, starts, node)
+        starts = held.groupBy("g", node.alias("node")).applyInPandas(descend, f"g {kinds['g']}, block long, number long, held double")
+    done = under(rows, starts, F.col("block")).groupBy("g", "block").applyInPandas(numbered, f"g {kinds['g']}, o {kinds['o']}, portion long")
     return done.select(F.col("g").alias(group), F.col("o").alias(order), "portion")
 
 
