@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +64,76 @@ def match(df: DataFrame, text: str, terms: list[Term]) -> DataFrame:
     return df.withColumns(hits | {"terms": found, "candidate": candidate}).drop(*masks)
 
 
+class Finder:
+    """Finds many terms in a text. An automaton reads the text once and says which literals it has; a term is tried only
+    where a literal that it needs stands, so the time grows with what is found and hardly with the number of terms. Terms
+    that need no literal are tried on every text."""
+
+    def __init__(self, patterns: tuple[str, ...]):
+        import ahocorasick
+        import regex
+
+        self.parts = [[regex.compile(dialects.python(p), regex.V1) for p in dialects.parts(x)] for x in patterns]
+        self.always: list[int] = []
+        #: Terms of one part that begins with its literal: they are tried at the literal's place.
+        self.there: list[bool] = [False] * len(patterns)
+        by_literal: dict[str, list[int]] = {}
+        for i, x in enumerate(patterns):
+            # all parts must be found, so the literals of any one of them will do: those that are longest
+            known = [n for n in map(dialects.needed, dialects.parts(x)) if n]
+            if not known:
+                self.always.append(i)
+                continue
+            literals, first = max(known, key=lambda n: min(map(len, n[0])))
+            self.there[i] = first and len(self.parts[i]) == 1
+            for literal in literals:
+                by_literal.setdefault(literal, []).append(i)
+        self.automaton = ahocorasick.Automaton()
+        for literal, terms in by_literal.items():
+            self.automaton.add_word(literal, (len(literal), tuple(terms)))
+        if by_literal:
+            self.automaton.make_automaton()
+        else:
+            self.automaton = None
+
+    def __call__(self, text: str | None) -> list[int]:
+        """The terms found, in order."""
+        if text is None:
+            return []
+        found, tried = set(), set(self.always)
+        for end, (length, terms) in self.automaton.iter(text) if self.automaton else ():
+            for i in terms:
+                if not self.there[i]:
+                    tried.add(i)
+                elif i not in found and self.parts[i][0].match(text, end + 1 - length):
+                    found.add(i)
+        found.update(i for i in tried if all(p.search(text) for p in self.parts[i]))
+        return sorted(found)
+
+
+@lru_cache(maxsize=4)
+def _finder(patterns: tuple[str, ...]) -> Finder:
+    return Finder(patterns)
+
+
+def match_many(df: DataFrame, text: str, terms: list[Term]) -> DataFrame:
+    """What ``match`` gives, for hundreds or thousands of terms: a task builds one Finder, and texts go through it in Arrow
+    batches. For a few dozen terms ``match`` is the better way, as it stays in generated code."""
+    lists = list(dict.fromkeys(t.list for t in terms))
+    terms = sorted(terms, key=lambda t: lists.index(t.list))
+    patterns, of = tuple(t.pattern for t in terms), [lists.index(t.list) for t in terms]
+    names = [f"{t.list}: {t.pattern}" for t in terms]
+
+    @F.pandas_udf("hits array<bigint>, terms array<string>")
+    def look(texts: pd.Series) -> pd.DataFrame:
+        find = _finder(patterns)
+        found = [find(None if pd.isna(x) else x) for x in texts]
+        return pd.DataFrame({"hits": [np.bincount([of[i] for i in x], minlength=len(lists)).tolist() for x in found], "terms": [[names[i] for i in x] for x in found]})
+
+    rows = df.withColumn("_found", look(F.col(text)))
+    return rows.withColumns({f"hit_{x}": F.get("_found.hits", F.lit(i)) for i, x in enumerate(lists)} | {"terms": F.col("_found.terms"), "candidate": F.size("_found.terms") > 0}).drop("_found")
+
+
 def searchable(docs: DataFrame, lemmas: DataFrame | None = None, key: str = "event_id", into: str = "searched") -> DataFrame:
     """Documents without error (key, title, lead, body) with the lower-case text that terms are looked for in: title, lead
     and body, and after them the lemmas of the three (``lemmas``: key, lemmas_title, lemmas_lead, lemmas_body) where there
