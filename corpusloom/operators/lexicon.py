@@ -64,6 +64,10 @@ def match(df: DataFrame, text: str, terms: list[Term]) -> DataFrame:
     return df.withColumns(hits | {"terms": found, "candidate": candidate}).drop(*masks)
 
 
+#: Terms of a list that is held by every task.
+MOST_TERMS = 50_000
+
+
 class Finder:
     """Finds many terms in a text. An automaton reads the text once and says which literals it has; a term is tried only
     where a literal that it needs stands, so the time grows with what is found and hardly with the number of terms. Terms
@@ -119,6 +123,8 @@ def _finder(patterns: tuple[str, ...]) -> Finder:
 def match_many(df: DataFrame, text: str, terms: list[Term]) -> DataFrame:
     """What ``match`` gives, for hundreds or thousands of terms: a task builds one Finder, and texts go through it in Arrow
     batches. For a few dozen terms ``match`` is the better way, as it stays in generated code."""
+    if len(terms) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms")
     lists = list(dict.fromkeys(t.list for t in terms))
     terms = sorted(terms, key=lambda t: lists.index(t.list))
     patterns, of = tuple(t.pattern for t in terms), [lists.index(t.list) for t in terms]
@@ -164,6 +170,11 @@ def per_term(matched: DataFrame, terms: list[Term]) -> DataFrame:
     return counts.select(pairs).select("x.*").where("docs > 0").sortWithinPartitions(F.desc("docs"), "term")
 
 
+def per_term_many(matched: DataFrame) -> DataFrame:
+    """(term, docs) of the terms that documents have, counted by a shuffle of (term, count), for lists of many terms."""
+    return matched.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("docs"))
+
+
 def only_through(matched: DataFrame, name: str) -> DataFrame:
     """One row: candidates, and those that have no term of the list ``name``, or that and more terms than one."""
     has = F.col(f"hit_{name}") > 0

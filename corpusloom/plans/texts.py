@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions import dialects
 from corpusloom.functions import text as tx
 from corpusloom.operators import judging, lexicon, parts, quality
 from corpusloom.session import load
@@ -51,6 +52,27 @@ def lexicon_without_list(spark, sf):
     return lexicon.only_through(matched(spark, sf), "process")
 
 
+def many_terms(spark, sf):
+    """A term for each longer word of the benchmark: words of documents that begin with it."""
+    words = load(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), dialects.OTHER + "+")).alias("w")).where("length(w) >= 6").distinct()
+    found = sorted(r["w"] for r in words.limit(lexicon.MOST_TERMS + 1).collect())
+    return lexicon.terms_of([("long" if len(w) > 8 else "short", rf"\b{w}\w*") for w in found])
+
+
+def matched_many(spark, sf):
+    d = load(spark, sf, "documents", spread=True).select("doc_id", F.lower("text").alias("t"))
+    return lexicon.match_many(d, "t", many_terms(spark, sf))
+
+
+def lexicon_many_terms(spark, sf):
+    terms = F.array_join(F.array_sort("terms"), "; ")
+    return matched_many(spark, sf).select("doc_id", "hit_long", "hit_short", "candidate", F.md5(terms).alias("terms_md5"))
+
+
+def lexicon_many_per_term(spark, sf):
+    return lexicon.per_term_many(matched_many(spark, sf))
+
+
 def body_hash(spark, sf):
     return load(spark, sf, "documents", spread=True).select("doc_id", tx.body_hash(F.col("text")).alias("body_hash"))
 
@@ -121,7 +143,7 @@ def kept_lines(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        lexicon_rate_by_source, lexicon_hits, lexicon_report_rollup, lexicon_per_term, lexicon_without_list, body_hash, duplicate_bodies, paragraphs, qa_metrics_by_source,
+        lexicon_rate_by_source, lexicon_hits, lexicon_report_rollup, lexicon_per_term, lexicon_without_list, lexicon_many_terms, lexicon_many_per_term, body_hash, duplicate_bodies, paragraphs, qa_metrics_by_source,
         article_text, embedding_input, characters_per_token, first_batch, token_portions, evidence_pointers, row_signature, embed_requests, kept_lines,
     )
 }
@@ -139,6 +161,11 @@ def _name(t):
     return f"{t.list}: {t.pattern}".replace("'", "''")
 
 
+#: CTE h: documents and the terms of many_terms that they have.
+H = r"""WITH b AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+')) AS w FROM benchmark) WHERE length(w) >= 6),
+  d AS (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+')) AS w FROM documents) WHERE length(w) >= 6),
+  p AS (SELECT doc_id, left(w, n) AS w FROM (SELECT doc_id, w, unnest(range(6, length(w) + 1)) AS n FROM d)),
+  h AS (SELECT DISTINCT doc_id, CASE WHEN length(w) > 8 THEN 'long' ELSE 'short' END AS list, CASE WHEN length(w) > 8 THEN 'long' ELSE 'short' END || ': \b' || w || '\w*' AS term FROM p JOIN b USING (w)) """
 _REPEATED = r"""SELECT doc_id, count(*) <> count(DISTINCT p) AS r FROM (SELECT doc_id, regexp_replace(line, '^\s+|\s+$', '', 'g') AS p FROM l) WHERE length(p) > 40 GROUP BY doc_id"""
 ORACLE_SQL = {
     "token_portions": """WITH RECURSIVE r AS (SELECT doc_id, source, length(text) / 3 AS s, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
@@ -150,6 +177,10 @@ ORACLE_SQL = {
     "lexicon_report_rollup": M + f"SELECT source, count(*) AS docs, CAST(count_if(candidate) AS BIGINT) AS candidates, {', '.join(f'CAST(count_if(hit_{x} > 0) AS BIGINT) AS docs_{x}' for x in LISTS)} FROM m GROUP BY ROLLUP (source)",
     "lexicon_per_term": M + "SELECT term, count(*) AS docs FROM (" + " UNION ALL ".join(f"SELECT '{_name(t)}' AS term FROM m WHERE t{i}" for i, t in enumerate(TERMS)) + ") GROUP BY term",
     "lexicon_without_list": M + "SELECT CAST(count_if(candidate) AS BIGINT) AS candidates, CAST(count_if(candidate AND hit_process = 0) AS BIGINT) AS without, CAST(count_if(candidate AND hit_process > 0 AND n_terms > 1) AS BIGINT) AS among_others FROM m",
+    "lexicon_many_terms": H
+    + """, g AS (SELECT doc_id, count(*) FILTER (list = 'long') AS l, count(*) FILTER (list = 'short') AS s, string_agg(term, '; ' ORDER BY term) AS t FROM h GROUP BY doc_id)
+      SELECT doc_id, coalesce(l, 0) AS hit_long, coalesce(s, 0) AS hit_short, l IS NOT NULL AS candidate, md5(coalesce(t, '')) AS terms_md5 FROM documents LEFT JOIN g USING (doc_id)""",
+    "lexicon_many_per_term": H + "SELECT term, count(*) AS docs FROM h GROUP BY term",
     "body_hash": f"SELECT doc_id, substr(sha256({NORMAL}), 1, 32) AS body_hash FROM documents",
     "duplicate_bodies": f"SELECT substr(sha256({NORMAL}), 1, 32) AS body_hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
     "paragraphs": LINES + r"SELECT doc_id, CAST(b AS BIGINT) AS begin_at, CAST(b + length(line) AS BIGINT) AS end_at FROM (SELECT doc_id, line, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS b FROM l) WHERE regexp_matches(line, '\S')",
