@@ -13,6 +13,7 @@ from corpusloom.operators import log as lg
 from corpusloom.plans import history
 from corpusloom.session import checkpointed, load, work_folder
 from corpusloom.sources import discovered, feeds, keyed, packs, sinks
+from corpusloom.streaming import feed
 from corpusloom.streaming import log as stream
 
 FIRST, LAST = history.FIRST, history.LAST
@@ -91,6 +92,16 @@ def stream_current_units(spark, sf):
     return sinks.current(spark, f"{out}/table").select("user_id", "event_id", "event_type")
 
 
+def stream_change_feed(spark, sf):
+    """The latest event of each user, as the end of the feed of changes of a stream in two batches or more."""
+    out = f"{work_folder(spark)}/feed-{uuid.uuid4().hex}"
+    log = load(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    log.withColumn("day", F.dayofmonth("ts") % 2).repartition("day").drop("day").write.parquet(f"{out}/log")
+    files = max(1, len(spark.read.parquet(f"{out}/log").inputFiles()) // 2)
+    feed.follow(stream.read(spark, f"{out}/log", log.schema, files), f"{out}/rows", f"{out}/checkpoint", unit="user_id", time="ts", kind=None).awaitTermination()
+    return lg.latest(spark.read.parquet(f"{out}/rows"), ["user_id"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_id", "event_type")
+
+
 def parts_replaced(spark, sf):
     """Documents added in two parts by source, after which the partitions of three sources are replaced by other rows."""
     out = f"{work_folder(spark)}/parts-{uuid.uuid4().hex}"
@@ -165,7 +176,7 @@ def packed_objects(spark, sf):
     return found.select("page_id", "sha256", F.octet_length(packs.verified(F.col("content"), F.col("sha256"))).alias("bytes"))
 
 
-QUERIES = {f.__name__: f for f in (corrections, coverage_facts, listing_days, section_stories, dump_found, sitemap_found, stream_current_units, parts_replaced, table_upserted, packed_objects)}
+QUERIES = {f.__name__: f for f in (corrections, coverage_facts, listing_days, section_stories, dump_found, sitemap_found, stream_current_units, stream_change_feed, parts_replaced, table_upserted, packed_objects)}
 
 PAGES_LOG = "WITH g AS (SELECT event_id, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'insert' END AS kind, event_type, ts, user_id % 9 AS outlet_id, CAST(ts AS DATE) AS day, 'https://x.org/news/' || (1000000 + user_id * 1000 + dayofyear(ts)) AS u, ts - to_days(CAST(event_id % 4 AS INT)) AS valid FROM events) "
 NUMBERED = history.ORACLE_SQL["day_of_number"].replace("SELECT doc_id, doc_id * 37 % 12007 AS x FROM documents", "SELECT DISTINCT doc_id * 37 % 120011 AS doc_id, doc_id * 37 % 120011 AS x FROM documents")
@@ -199,6 +210,7 @@ ORACLE_SQL = {
       SELECT DISTINCT 'listing' AS route, CAST(day AS VARCHAR) AS day, 'https://l.org/' || day || '/src/item/' || item AS url, 'l.org' AS host FROM p JOIN w USING (day)""",
     "section_stories": f"""WITH n AS ({NUMBERED}), b AS ({history.ORACLE_SQL["number_bounds"]})
       SELECT doc_id + {SHIFT} AS number, day, 'https://s.org/news/' || (doc_id + {SHIFT}) || '/title.html' AS url, 's.org' AS host FROM n, b WHERE doc_id BETWEEN lo AND hi AND day BETWEEN '{NEAR[0]}' AND '{NEAR[1]}'""",
+    "stream_change_feed": "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id",
     "stream_current_units": "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id",
     "parts_replaced": """SELECT doc_id, CASE WHEN source IN ('src1', 'src2', 'src3') THEN 0 ELSE n_chars END AS n_chars, source FROM documents WHERE source IS NULL OR source NOT IN ('src1', 'src2', 'src3') OR doc_id % 3 = 0""",
 }
