@@ -136,7 +136,8 @@ def match_many(df: DataFrame, text: str, terms: list[Term]) -> DataFrame:
         found = [find(None if pd.isna(x) else x) for x in texts]
         return pd.DataFrame({"hits": [np.bincount([of[i] for i in x], minlength=len(lists)).tolist() for x in found], "terms": [[names[i] for i in x] for x in found]})
 
-    rows = df.withColumn("_found", look(F.col(text)))
+    # said to be nondeterministic, since what Spark infers from a later explode would else run it twice
+    rows = df.withColumn("_found", look.asNondeterministic()(F.col(text)))
     return rows.withColumns({f"hit_{x}": F.get("_found.hits", F.lit(i)) for i, x in enumerate(lists)} | {"terms": F.col("_found.terms"), "candidate": F.size("_found.terms") > 0}).drop("_found")
 
 

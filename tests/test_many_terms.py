@@ -65,6 +65,11 @@ def test_same_flags_on_the_documents(spark, sf):
     assert got == want
 
 
+def test_texts_are_read_once(spark, sf, capsys):
+    texts.lexicon_many_per_term(spark, sf).explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 1
+
+
 def test_time_hardly_grows_with_terms(sf):
     import duckdb
 
