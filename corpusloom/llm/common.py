@@ -68,15 +68,15 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[list[str | None
         yield x.to_pylist()
 
 
-def text_udf(fn: Callable[[list[str | None]], pa.Array], returns: str, make: Callable | None = None) -> Callable[[Column], Column]:
-    """An Arrow UDF of one text column. fn gets lists of bounded size. make(), if given, builds fn once in each task."""
+def text_udf(fn: Callable[[list[str | None]], pa.Array], returns: str, make: Callable | None = None, most: int = SLICE_BYTES) -> Callable[[Column], Column]:
+    """An Arrow UDF of one text column. fn gets lists of about ``most`` bytes. make(), if given, builds fn once in each
+    task. The results of a list leave before the next is begun, so a task holds no more of them, however large a batch is."""
 
     @F.arrow_udf(returns)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         f = make() if make else fn
         for batch in batches:
-            parts = [f(x) for x in slices(batch)]
-            yield pa.concat_arrays(parts) if parts else f([])
+            yield from map(f, slices(batch, most)) if len(batch) else [f([])]
 
     return run
 

@@ -32,7 +32,9 @@ from corpusloom.llm.part_cache import PartCache
 
 SPACE = "▁"
 #: Distinct parts of texts that a task keeps the ids of.
-CACHED_PARTS = 1_000_000
+CACHED_PARTS = 250_000
+#: Bytes of text that a task encodes at once; as Python objects, parts and ids take some fifty times as much.
+SLICE_BYTES = 1 << 20
 #: Ids that are decoded at once, about.
 SLICE_IDS = 1 << 19
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -263,7 +265,7 @@ def encode(df: DataFrame, model_file: str, text: str = "text", into: str = "piec
 
         return run
 
-    return df.withColumn(into, text_udf(None, "struct<ids:array<int>,begins:array<int>,ends:array<int>>", make)(F.col(text).cast("string")))
+    return df.withColumn(into, text_udf(None, "struct<ids:array<int>,begins:array<int>,ends:array<int>>", make, SLICE_BYTES)(F.col(text).cast("string")))
 
 
 def decode(df: DataFrame, model_file: str, ids: str, into: str = "decoded") -> DataFrame:
@@ -302,7 +304,7 @@ def round_trip(df: DataFrame, model_file: str, text: str = "text", into: str = "
         return run
 
     returns = "struct<ids:array<int>,begins:array<int>,ends:array<int>,decoded:string>"
-    return df.withColumn(into, text_udf(None, returns, make)(F.col(text).cast("string")))
+    return df.withColumn(into, text_udf(None, returns, make, SLICE_BYTES)(F.col(text).cast("string")))
 
 
 RESULT = "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string,spans_sha256:string>"
@@ -333,4 +335,4 @@ def digests(df: DataFrame, model_file: str, text: str = "text", into: str = "dig
 
         return run
 
-    return df.withColumn(into, text_udf(None, RESULT, make)(F.col(text).cast("string")))
+    return df.withColumn(into, text_udf(None, RESULT, make, SLICE_BYTES)(F.col(text).cast("string")))

@@ -95,3 +95,19 @@ def test_round_trip_is_encode_and_decode(spark, monkeypatch):
     coded = {r["i"]: r for r in sp.decode(sp.encode(df, model), model, "pieces.ids").collect()}
     for r in sp.round_trip(df, model).collect():
         assert r["coded"]["ids"] == coded[r["i"]]["pieces"]["ids"] and r["coded"]["decoded"] == coded[r["i"]]["decoded"]
+
+
+def test_a_task_holds_one_slice_of_results_and_few_parts(codec):
+    import pyarrow as pa
+
+    from corpusloom.llm.common import text_udf
+
+    batch = pa.array(["x" * 1000, None, "", "y" * 5000, "z"] * 40)
+    run = text_udf(lambda texts: pa.array([len(t or "") for t in texts], pa.int64()), "bigint", most=8000).func
+    got = list(run(iter([batch, batch[:0], batch[:3]])))
+    assert pa.concat_arrays(got).to_pylist() == [len(t or "") for t in [*batch.to_pylist(), *batch[:3].to_pylist()]]
+    assert max(map(len, got)) <= 10  # as whole batches they'd take a task's memory several times
+    mine = sp.Codec(MODEL)
+    for k in range(0, 600_000, 50_000):
+        mine.encode([" ".join(f"w{i}" for i in range(k, k + 50_000))])
+        assert len(mine.cache.known) <= 300_000
