@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache, reduce
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import dialects
 from corpusloom.functions import text as tx
+from corpusloom.functions.slices import text_udf
 
 
 @dataclass(frozen=True)
@@ -66,6 +69,8 @@ def match(df: DataFrame, text: str, terms: list[Term]) -> DataFrame:
 
 #: Terms of a list that is held by every task.
 MOST_TERMS = 50_000
+#: Bytes of text that are matched with many terms at once.
+MATCHED_BYTES = 1 << 20
 
 
 class Finder:
@@ -120,22 +125,36 @@ def _finder(patterns: tuple[str, ...]) -> Finder:
     return Finder(patterns)
 
 
+def finding(terms: list[Term], lists: list[str]) -> Callable[[Column], Column]:
+    """A function of a text column: hits of each list, and the terms found. It takes an Arrow batch in slices."""
+    patterns, names = tuple(t.pattern for t in terms), pa.array([f"{t.list}: {t.pattern}" for t in terms], pa.string())
+    of = np.array([lists.index(t.list) for t in terms], np.int64)
+
+    def make():
+        find = _finder(patterns)
+
+        def look(texts: list[str | None]) -> pa.Array:
+            each = [find(x) for x in texts]
+            sizes = np.array(list(map(len, each)), np.int64)
+            found = np.fromiter(chain.from_iterable(each), np.int64, sizes.sum())
+            hits = np.bincount(np.repeat(np.arange(len(each)), sizes) * len(lists) + of[found], minlength=len(each) * len(lists))
+            starts = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+            columns = [pa.ListArray.from_arrays(starts(np.full(len(each), len(lists))), pa.array(hits, pa.int64())), pa.ListArray.from_arrays(starts(sizes), names.take(pa.array(found)))]
+            return pa.StructArray.from_arrays(columns, ["hits", "terms"])
+
+        return look
+
+    return text_udf(None, "struct<hits:array<bigint>,terms:array<string>>", make, MATCHED_BYTES)
+
+
 def match_many(df: DataFrame, text: str, terms: list[Term]) -> DataFrame:
-    """What ``match`` gives, for hundreds or thousands of terms: a task builds one Finder, and texts go through it in Arrow
-    batches. For a few dozen terms ``match`` is the better way, as it stays in generated code."""
+    """What ``match`` gives, for hundreds or thousands of terms: a task builds one Finder, and texts go through it in slices
+    of Arrow batches, so what a task holds doesn't grow with its batch. For a few dozen terms ``match`` is the better way, as
+    it stays in generated code."""
     if len(terms) > MOST_TERMS:
         raise ValueError(f"more than {MOST_TERMS} terms")
     lists = list(dict.fromkeys(t.list for t in terms))
-    terms = sorted(terms, key=lambda t: lists.index(t.list))
-    patterns, of = tuple(t.pattern for t in terms), [lists.index(t.list) for t in terms]
-    names = [f"{t.list}: {t.pattern}" for t in terms]
-
-    @F.pandas_udf("hits array<bigint>, terms array<string>")
-    def look(texts: pd.Series) -> pd.DataFrame:
-        find = _finder(patterns)
-        found = [find(None if pd.isna(x) else x) for x in texts]
-        return pd.DataFrame({"hits": [np.bincount([of[i] for i in x], minlength=len(lists)).tolist() for x in found], "terms": [[names[i] for i in x] for x in found]})
-
+    look = finding(sorted(terms, key=lambda t: lists.index(t.list)), lists)
     # said to be nondeterministic, since what Spark infers from a later explode would else run it twice
     rows = df.withColumn("_found", look.asNondeterministic()(F.col(text)))
     return rows.withColumns({f"hit_{x}": F.get("_found.hits", F.lit(i)) for i, x in enumerate(lists)} | {"terms": F.col("_found.terms"), "candidate": F.size("_found.terms") > 0}).drop("_found")

@@ -59,6 +59,17 @@ def test_flags_are_those_of_single_patterns(spark):
     assert lexicon.match_many(df, "t", terms).dtypes == lexicon.match(df, "t", terms).dtypes
 
 
+def test_results_of_a_batch_leave_in_slices():
+    import pyarrow as pa
+
+    terms = lexicon.terms_of([("a", "station"), ("b", r"\bsquare\b"), ("a", "town")])
+    data = [None, "", "station " * 5000, "a square, a town", "none"] * 200
+    got = list(lexicon.finding(terms, ["a", "b"]).func(iter([pa.array(data)])))
+    assert len(got) > 5  # a batch's results at once would grow with its texts
+    found = {"s": {"hits": [1, 0], "terms": ["a: station"]}, "a": {"hits": [1, 1], "terms": ["b: \\bsquare\\b", "a: town"]}}
+    assert pa.concat_arrays(got).to_pylist() == [found.get((x or "n")[:1], {"hits": [0, 0], "terms": []}) for x in data]
+
+
 def test_same_flags_on_the_documents(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.lower("text").alias("t"))
     want, got = (sorted(map(tuple, f(d, "t", texts.TERMS).drop("t").collect())) for f in (lexicon.match, lexicon.match_many))
