@@ -96,7 +96,9 @@ def stream_change_feed(spark, sf):
     """The latest event of each user, as the end of the feed of changes of a stream in two batches or more."""
     out = f"{work_folder(spark)}/feed-{uuid.uuid4().hex}"
     log = load(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    log.withColumn("day", F.dayofmonth("ts") % 2).repartition("day").drop("day").write.parquet(f"{out}/log")
+    # as many files as cores or as the input has, each of days that are odd or even
+    parts = max(2, spark.sparkContext.defaultParallelism, len(log.inputFiles()))
+    log.repartition(parts, F.dayofmonth("ts") % 2, F.pmod("event_id", F.lit(parts))).write.parquet(f"{out}/log")
     files = max(1, len(spark.read.parquet(f"{out}/log").inputFiles()) // 2)
     feed.follow(stream.read(spark, f"{out}/log", log.schema, files), f"{out}/rows", f"{out}/checkpoint", unit="user_id", time="ts", kind=None).awaitTermination()
     return lg.latest(spark.read.parquet(f"{out}/rows"), ["user_id"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_id", "event_type")

@@ -7,8 +7,9 @@ the rows of a unit form a chain, and the last of them is the current record. Rec
 with a null ``superseded``; a null kind is no insert and isn't passed on, as in ``log.current_events``.
 
 Defined results: a null unit is a unit; a null time or tie is older than any other. A batch without rows changes nothing.
+State is kept for buckets of units: a batch reads and writes the buckets that its units fall in.
 Rows of a unit meet one after the other and one is kept, so a unit may have any number of them; before they are dealt out
-by unit, each Arrow batch keeps the last of every unit, so a unit with most rows isn't most of what one task reads.
+by bucket, each task keeps the last of every unit, so a unit with most rows isn't most of what one task reads.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import StructField, StructType, TimestampType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, DecimalType, FractionalType, StringType, StructField, StructType, TimestampType
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -32,38 +33,82 @@ def _rank(place: tuple) -> tuple:
     return tuple((x is not None, x) for x in place)
 
 
+#: Units are dealt to so many states by their hash. Spark asks Python for every state one by one, over a socket, so a state a
+#: unit would cost milliseconds a unit. States of a checkpoint keep to this number, so it stays as it is.
+BUCKETS = 1 << 13
+UNIT, BUCKET = "_feed_unit", "_feed_bucket"
+
+
+def _name(unit: str, kind: DataType) -> Column:
+    """The unit as text, equal for what a grouping takes as equal."""
+    c = F.col(unit)
+    if isinstance(kind, BinaryType):
+        return F.hex(c)
+    return (c + F.lit(0.0) if isinstance(kind, FractionalType) and not isinstance(kind, DecimalType) else c).cast("string")
+
+
 class Latest(StatefulProcessor):
-    """Keeps the place (time, tie) of a unit's current record."""
+    """Keeps the places (time, tie) of the current records of a bucket's units."""
 
     def __init__(self, schema: StructType, time: str, tie: str):
         self.names, self.time, self.tie = schema.names, time, tie
-        self.kept = StructType([StructField("time", schema[time].dataType), StructField("tie", schema[tie].dataType)])
+        kinds = {"unit": StringType(), "time": schema[time].dataType, "tie": schema[tie].dataType}
+        self.kept = StructType([StructField(c, ArrayType(k)) for c, k in kinds.items()])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.current = handle.getValueState("current", self.kept)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        place = lambda r: (r[self.time], r[self.tie])
-        best = max(rows, key=lambda r: _rank(place(r)))
-        before = tuple(self.current.get()) if self.current.exists() else None
-        if before is None or _rank(before) < _rank(place(best)):
-            self.current.update(place(best))
-            yield Row(**{c: best[c] for c in self.names}, superseded=before and before[1])
+        best: dict[str | None, tuple[tuple, Row]] = {}
+        for r in rows:
+            unit, rank = r[UNIT], _rank((r[self.time], r[self.tie]))
+            if unit not in best or best[unit][0] < rank:
+                best[unit] = rank, r
+        before = self.current.get()
+        kept = {u: (time, tie) for u, time, tie in zip(*before)} if before else {}
+        found, made = [], Row(*self.names, "superseded")
+        for unit, (rank, r) in best.items():
+            was = kept.get(unit)
+            if was is None or _rank(was) < rank:
+                kept[unit] = r[self.time], r[self.tie]
+                found.append(made(*(r[c] for c in self.names), was and was[1]))
+        if found:
+            self.current.update((list(kept), *map(list, zip(*kept.values()))))
+        yield from found
 
     def close(self) -> None:
         pass
 
 
-def _newest(unit: int, time: str, tie: str):
-    """The last row of each unit in every batch."""
+#: Bytes of rows that a task holds to find the last of each unit, and rows that it passes on at once.
+HELD_BYTES, PASSED_ROWS = 64 << 20, 10_000
+
+
+def _newest(name: str, time: str, tie: str):
+    """The last row of each unit among those that come together. What is held is bounded: if its last rows alone fill half
+    the room, they are passed on."""
+
+    def last(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        batch = pa.concat_batches(held)
+        order = pc.sort_indices(batch, sort_keys=[(time, "ascending"), (tie, "ascending")], null_placement="at_start").to_numpy()
+        units = batch.column(name).dictionary_encode(null_encoding="encode").indices.to_numpy()[order][::-1]
+        _, first = np.unique(units, return_index=True)
+        return batch.take(pa.array(order[::-1][np.sort(first)]))
 
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        passed = lambda batch: (batch.slice(i, PASSED_ROWS) for i in range(0, batch.num_rows, PASSED_ROWS))
         for batch in batches:
-            if batch.num_rows:
-                order = pc.sort_indices(batch, sort_keys=[(time, "ascending"), (tie, "ascending")], null_placement="at_start").to_numpy()
-                units = batch.column(unit).dictionary_encode(null_encoding="encode").indices.to_numpy()[order][::-1]
-                _, last = np.unique(units, return_index=True)
-                yield batch.take(pa.array(order[::-1][np.sort(last)]))
+            held.append(batch)
+            size += batch.nbytes
+            if size > HELD_BYTES:
+                kept = last(held)
+                held, size = [kept], kept.nbytes
+                if size > HELD_BYTES // 2:
+                    yield from passed(kept)
+                    held, size = [], 0
+        if held:
+            yield from passed(last(held))
 
     return reduced
 
@@ -75,8 +120,11 @@ def changes(log: DataFrame, unit: str = "unit_id", time: str = "ingest_time", ti
     moments = [f.name for f in log.schema if isinstance(f.dataType, TimestampType)]
     rows = inserts.withColumns({c: F.unix_micros(c) for c in moments})
     out = StructType([StructField(f.name, f.dataType) for f in rows.schema] + [StructField("superseded", rows.schema[tie].dataType)])
-    reduced = rows.mapInArrow(_newest(log.columns.index(unit), time, tie), rows.schema)
-    feed = reduced.groupBy(unit).transformWithState(Latest(rows.schema, time, tie), out, "Append", "None").withColumns({c: F.timestamp_micros(c) for c in moments})
+    named = rows.withColumn(UNIT, _name(unit, rows.schema[unit].dataType)).withColumn(BUCKET, F.pmod(F.xxhash64(UNIT), F.lit(BUCKETS)))
+    # Python takes a row at a time beside its state, so by then one row a unit is left: first of a task, then of a bucket
+    fewer = lambda df: df.mapInArrow(_newest(UNIT, time, tie), named.schema)
+    dealt = fewer(fewer(named).repartition(BUCKET))
+    feed = dealt.groupBy(BUCKET).transformWithState(Latest(rows.schema, time, tie), out, "Append", "None").withColumns({c: F.timestamp_micros(c) for c in moments})
     if kind is None:
         return feed
     return feed.unionByName(log.where(F.col(kind) != "insert").withColumn("superseded", F.lit(None).cast(log.schema[tie].dataType)))
